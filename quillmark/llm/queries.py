@@ -7,15 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .common import read
+from .packing import best_fit_packing
 from .sharding import feistel_shards
+from .simhash import simhash_components
 from .topk import top_k
 from .vectors import near_vectors
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    path = public_tokenizers.path
+    return best_fit_packing(docs, path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -28,7 +43,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_near_dedup, op7_byte_bpe, op9_sharding, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_embedding_near_dedup, op6_simhash_near_dedup, op7_byte_bpe, op9_sharding, op10_exact_topk)}
 
 OP3_SQL = """
 WITH RECURSIVE v AS (
