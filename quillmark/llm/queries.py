@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .common import read
+from .lattice import lattice_scores
 from .packing import best_fit_packing
 from .sharding import feistel_shards
 from .simhash import simhash_components
@@ -27,6 +28,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op5_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_embedding_near_dedup, op6_simhash_near_dedup, op7_byte_bpe, op9_sharding, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_embedding_near_dedup, op5_lattice_likelihood, op6_simhash_near_dedup, op7_byte_bpe, op9_sharding, op10_exact_topk)}
 
 OP3_SQL = """
 WITH RECURSIVE v AS (
