@@ -12,9 +12,15 @@ from .packing import best_fit_packing
 from .sharding import feistel_shards
 from .simhash import simhash_components
 from .topk import top_k
+from .toxicity import toxic_documents
 from .vectors import near_vectors
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
 
@@ -48,7 +54,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_embedding_near_dedup, op5_lattice_likelihood, op6_simhash_near_dedup, op7_byte_bpe, op9_sharding, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_embedding_near_dedup, op5_lattice_likelihood, op6_simhash_near_dedup, op7_byte_bpe, op9_sharding, op10_exact_topk)}
 
 OP3_SQL = """
 WITH RECURSIVE v AS (
