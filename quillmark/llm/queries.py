@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digests
 from .common import read
 from .lattice import lattice_scores
+from .licences import licence_scan
+from .licences import oracle as licence_sql
 from .packing import best_fit_packing
 from .sharding import feistel_shards
 from .simhash import simhash_components
@@ -34,6 +36,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(read(spark, sf_dir, "documents"))
+
+
 def op5_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -54,7 +60,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_embedding_near_dedup, op5_lattice_likelihood, op6_simhash_near_dedup, op7_byte_bpe, op9_sharding, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_embedding_near_dedup, op4_licence_scan, op5_lattice_likelihood, op6_simhash_near_dedup, op7_byte_bpe, op9_sharding, op10_exact_topk)}
 
 OP3_SQL = """
 WITH RECURSIVE v AS (
@@ -84,4 +90,4 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op3_embedding_near_dedup": OP3_SQL, "op10_exact_topk": OP10_SQL}
+ORACLE_SQL = {"op3_embedding_near_dedup": OP3_SQL, "op4_licence_scan": licence_sql(), "op10_exact_topk": OP10_SQL}
