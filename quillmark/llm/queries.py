@@ -11,6 +11,8 @@ from .lattice import lattice_scores
 from .licences import licence_scan
 from .licences import oracle as licence_sql
 from .packing import best_fit_packing
+from .pii import oracle as pii_sql
+from .pii import pii_scan
 from .sharding import feistel_shards
 from .simhash import simhash_components
 from .topk import top_k
@@ -52,6 +54,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(read(spark, sf_dir, "documents"))
 
@@ -60,7 +66,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_embedding_near_dedup, op4_licence_scan, op5_lattice_likelihood, op6_simhash_near_dedup, op7_byte_bpe, op9_sharding, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_embedding_near_dedup, op4_licence_scan, op5_lattice_likelihood, op6_simhash_near_dedup, op7_byte_bpe, op8_personal_data, op9_sharding, op10_exact_topk)}
 
 OP3_SQL = """
 WITH RECURSIVE v AS (
@@ -90,4 +96,4 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op3_embedding_near_dedup": OP3_SQL, "op4_licence_scan": licence_sql(), "op10_exact_topk": OP10_SQL}
+ORACLE_SQL = {"op3_embedding_near_dedup": OP3_SQL, "op4_licence_scan": licence_sql(), "op8_personal_data": pii_sql(), "op10_exact_topk": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, ship
@@ -39,15 +39,16 @@ def fingerprint(text: str, words: int = 3, seed: int = 42, block: int = 1 << 17)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint's bits as a signed long."""
+    """(doc_id, fp, text_hash) for every row; fp is the fingerprint's bits as a signed long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.array([fingerprint(t or "") for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": found.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": found.view(np.int64), "text_hash": batch["text_hash"]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return slim.mapInPandas(run, "doc_id long, fp long, text_hash long")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -187,7 +188,7 @@ def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 2048) -
     Null and empty texts have fingerprint zero, which links like any other.
     Repeated rows each appear. A null doc_id is no component's number unless all
     are null. An empty table gives an empty result; other columns are not read.
-    Returns doc_id, fingerprint (16 hex digits), component_id.
+    Returns doc_id, fingerprint (16 hex digits), component_id, text_hash.
     """
     rows = cut(fingerprints(docs))
     codes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -211,10 +212,28 @@ def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 2048) -
     linked = roots.join(classes, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("joined"))
     known = codes.join(linked, "fp", "left").select("fp", F.coalesce("joined", "first").alias("component_id"))
     return rows.join(known, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash"
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without all but one row of each component of :func:`simhash_components`.
+
+    The row of smallest doc_id stays (null last, then by a hash of the text);
+    of rows equal in both, one. Its columns stay as they are.
+    """
+    found = simhash_components(docs)
+    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
+    keep = found.groupBy(group.alias("_group")).agg(best).select(
+        F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash")
+    ).distinct()
+    rows = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_sum": F.xxhash64("text")})
+    rows = rows.join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_hash")), "left_semi")
+    same = Window.partitionBy("_key", "_sum").orderBy("_key")
+    return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
+
+
 def _forest(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
     key = rows[["mask", "pattern"]].to_numpy()
     unit = np.cumsum(np.append(0, (key[1:] != key[:-1]).any(axis=1)))

@@ -268,3 +268,18 @@ def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on the labelled rows, then scores every document; see :func:`score_documents`."""
     ship(docs.sparkSession)
     return score_documents(docs, fit(docs, labels))
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text scores below 0.5, with their columns as they are.
+
+    Null and empty texts stay unless the model calls such texts toxic.
+    """
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        scans = (model.scan(t or "") for t in texts)
+        return pd.Series([model.score(model.evidence(n, model.passages(n, found))) for n, found in scans], dtype=float)
+
+    return docs.where(score(F.col("text")) < 0.5)
