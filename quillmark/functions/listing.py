@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicon as L
 from .text import normalized
-from .urls import contains_any, first_contained, path, query_value
+from .urls import contains_any, first_contained, let, path, query_value
 
 
 def matches(text: Column, patterns: list[str]) -> Column:
@@ -33,14 +33,19 @@ def is_search_page(title: Column, url: Column) -> Column:
 
 def has_job_url(url: Column) -> Column:
     """Rules on a lower-case address; the first that applies decides."""
+    number = F.trim(F.coalesce(query_value(url, "id"), query_value(url, "jobid"), F.lit("")))
     way = F.regexp_replace(path(url), "/+$", "")
     slashes = F.length(way) - F.length(F.replace(way, F.lit("/"), F.lit("")))
-    number = F.trim(F.coalesce(query_value(url, "id"), query_value(url, "jobid"), F.lit("")))
+    facts = F.struct(url.alias("url"), way.alias("way"), slashes.alias("slashes"), number.rlike("^[0-9]+$").alias("numbered"))
+    return let(facts, lambda f: job_rule(f["url"], f["way"], f["slashes"], f["numbered"]))
+
+
+def job_rule(url: Column, way: Column, slashes: Column, numbered: Column) -> Column:
     has = url.contains
     yes, no = F.lit(True), F.lit(False)
     return (
         F.when(contains_any(url, [*L.BLOG_URL_FRAGMENTS, "linkedin.com/jobs/search", "indeed.com/jobs?", "indeed.com/q-"]), no)
-        .when(way.endswith("/jobs") & number.rlike("^[0-9]+$"), yes)
+        .when(way.endswith("/jobs") & numbered, yes)
         .when(~contains_any(url, L.SPECIFIC_URL_FRAGMENTS), no)
         .when(has("/job/") & (slashes >= 3), yes)
         .when(has("/job-detail/") & (slashes >= 4), yes)
@@ -76,51 +81,67 @@ def is_program_detail(title: Column, url: Column) -> Column:
     return way.rlike(r"/internships?-programs/[^/]+$") & has_role_title(title)
 
 
-def generic_reason(title: Column, url: Column) -> Column:
+def _facts(name: Column, link: Column) -> Column:
+    """What the rules ask about a normalised title and address, each worked out once."""
+    guarded = F.filter(F.array(*map(F.lit, L.GENERIC_TITLE_FRAGMENTS)), lambda f: F.contains(name, f) & (
+        (f != "search intern") | name.startswith("search intern") | name.startswith("search for intern")
+    ))
+    return F.struct(
+        name.alias("title"), link.alias("url"), has_job_url(link).alias("job"), has_role_title(name).alias("role"),
+        F.try_element_at(guarded, F.lit(1)).alias("fragment"), first_contained(link, L.GENERIC_URL_FRAGMENTS).alias("place"),
+        F.regexp_replace(F.lower(path(link)), "/+$", "").rlike(r"/internships?-programs/[^/]+$").alias("program"),
+    )
+
+
+def _general(f: Column) -> Column:
     """Why a page is a general one, or null; rules in order of precedence."""
-    quoted = lambda text, value, end: F.concat(F.lit(f"{text} ('"), value, F.lit(f"'){end}"))
-    fragments = [
-        F.when(title.contains(f) & (title.rlike("^search (?:for )?intern") if f == "search intern" else F.lit(True)), F.lit(f))
-        for f in L.GENERIC_TITLE_FRAGMENTS
-    ]
-    fragment = F.coalesce(*fragments)
-    place = F.when(~has_job_url(url) & ~is_program_detail(title, url), first_contained(url, L.GENERIC_URL_FRAGMENTS))
-    long = (word_count(title) >= L.LONG_TITLE_WORDS) & ~has_job_url(url)
+    quoted = lambda text, value: F.concat(F.lit(f"{text} ('"), value, F.lit("')."))
+    title = f["title"]
     return (
         F.when(title.isin(L.GENERIC_EXACT_TITLES), F.concat(F.lit("Title matches a generic careers page: '"), title, F.lit("'.")))
-        .when(fragment.isNotNull(), quoted("Title looks like a program navigation page", fragment, "."))
-        .when(place.isNotNull(), quoted("URL looks like a general careers page", place, "."))
+        .when(f["fragment"].isNotNull(), quoted("Title looks like a program navigation page", f["fragment"]))
+        .when(f["place"].isNotNull() & ~f["job"] & ~(f["program"] & f["role"]), quoted("URL looks like a general careers page", f["place"]))
         .when(title.rlike("^(search )?internships?$"), F.lit("Title is a generic internships search label."))
-        .when(long, F.lit("Title looks like page copy rather than a job posting title."))
+        .when((word_count(title) >= L.LONG_TITLE_WORDS) & ~f["job"], F.lit("Title looks like page copy rather than a job posting title."))
     )
 
 
-def classified(title: Column, url: Column) -> Column:
-    """struct(is_specific, category, reason) of a page."""
-    name, link = normalized(title), F.lower(F.trim(url))
-    reason = generic_reason(name, link)
+def generic_reason(title: Column, url: Column) -> Column:
+    """The reason why a normalised title and lower-case address are a general page's, or null."""
+    return let(_facts(title, url), _general)
+
+
+def _verdict(f: Column) -> Column:
+    name, link, why = f["facts"]["title"], f["facts"]["url"], f["why"]
     year = name.contains("2027") | name.contains("2026")
-    summer = name.contains("summer") & name.contains("intern")
     by_title = (
         F.when(year, F.lit("Title includes a target internship year."))
-        .when(summer, F.lit("Title includes a summer internship role."))
+        .when(name.contains("summer") & name.contains("intern"), F.lit("Title includes a summer internship role."))
         .otherwise(F.lit("Title includes a specific internship role."))
     )
 
-    def verdict(category: str, why: Column) -> Column:
-        return F.struct(F.lit(category == "specific_listing").alias("is_specific"), F.lit(category).alias("category"), why.alias("reason"))
+    def verdict(category: str, reason: Column) -> Column:
+        return F.struct(F.lit(category == "specific_listing").alias("is_specific"), F.lit(category).alias("category"), reason.alias("reason"))
 
     return (
         F.when(is_story(name, link), verdict("blog_or_story", F.lit("URL or title looks like a blog or employee story page.")))
         .when(~mentions_internship(name, link), verdict("not_internship", F.lit("Does not mention internship-related terms.")))
-        .when(reason.isNotNull() & is_search_page(name, link), verdict("generic_search_page", reason))
-        .when(reason.isNotNull(), verdict("generic_program_page", reason))
-        .when(has_job_url(link), verdict("specific_listing", F.lit("URL points to a specific job posting path.")))
-        .when(has_role_title(name), verdict("specific_listing", by_title))
+        .when(why.isNotNull() & is_search_page(name, link), verdict("generic_search_page", why))
+        .when(why.isNotNull(), verdict("generic_program_page", why))
+        .when(f["facts"]["job"], verdict("specific_listing", F.lit("URL points to a specific job posting path.")))
+        .when(f["facts"]["role"], verdict("specific_listing", by_title))
         .otherwise(verdict("generic_program_page", F.lit("Mentions internships but lacks a specific role title or job posting URL.")))
     )
 
 
+def classified(title: Column, url: Column) -> Column:
+    """struct(is_specific, category, reason) of a page."""
+    tidy = F.struct(normalized(title).alias("name"), F.lower(F.trim(url)).alias("link"))
+    facts = let(tidy, lambda x: _facts(x["name"], x["link"]))
+    reasoned = let(facts, lambda f: F.struct(f.alias("facts"), _general(f).alias("why")))
+    return let(reasoned, _verdict)
+
+
 def category_label(category: Column) -> Column:
     pairs = [F.lit(x) for pair in L.CATEGORY_LABELS.items() for x in pair]
     other = F.initcap(F.replace(category, F.lit("_"), F.lit(" ")))
@@ -128,12 +149,11 @@ def category_label(category: Column) -> Column:
 
 
 def is_graduate_only(title: Column, eligibility: Column) -> Column:
-    text = F.concat_ws(" ", title, eligibility)
-    return (
+    return let(F.concat_ws(" ", title, eligibility), lambda text: (
         F.when(matches(text, L.STRICT_GRADUATE_PATTERNS), F.lit(True))
         .when(matches(text, L.UNDERGRADUATE_PATTERNS), F.lit(False))
         .otherwise(matches(text, L.GRADUATE_PATTERNS))
-    )
+    ))
 
 
 def mentions_terms(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicon as L
 from .text import clean_title, normalized
-from .urls import contains_any, greenhouse_board, host, lever_board
+from .urls import contains_any, greenhouse_board, host, let, lever_board
 
 APPLICATION = r"(?i)^job application for (.+) at (.+)$"
 
@@ -58,48 +58,63 @@ def merged(kept: Column, other: Column) -> dict[str, Column]:
     }
 
 
-def company_of_slug(slug: Column) -> Column:
-    low = F.lower(F.trim(slug))
-    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in L.BOARD_SLUGS.items() for x in pair)), low)
-    bare = low
+def _bare_slug(slug: Column) -> Column:
+    """A board's slug without the suffixes, as words."""
+    bare = F.lower(F.trim(slug))
     for suffix in L.BOARD_SLUG_SUFFIXES:
-        bare = F.when(bare.endswith(suffix), F.substring(bare, F.lit(1), F.length(bare) - len(suffix))).otherwise(bare)
-    bare = F.trim(F.replace(bare, F.lit("-"), F.lit(" ")))
-    return F.coalesce(known, F.when(bare != "", clean_title(F.initcap(bare))).otherwise(clean_title(F.replace(slug, F.lit("-"), F.lit(" ")))))
+        bare = F.regexp_replace(bare, f"{suffix}$", "")
+    return F.trim(F.replace(bare, F.lit("-"), F.lit(" ")))
+
+
+def company_of_slug(slug: Column) -> Column:
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in L.BOARD_SLUGS.items() for x in pair)), F.lower(F.trim(slug)))
+    words = let(_bare_slug(slug), lambda b: F.when(b != "", F.initcap(b)).otherwise(F.replace(slug, F.lit("-"), F.lit(" "))))
+    return F.coalesce(known, let(words, clean_title))
 
 
 def company_of_url(url: Column) -> Column:
     board = F.coalesce(greenhouse_board(url)["board"], lever_board(url)["board"])
-    return F.when(board.isNotNull(), company_of_slug(board)).otherwise(F.lit(""))
+    return let(board, lambda b: F.when(b.isNotNull(), company_of_slug(b)).otherwise(F.lit("")))
 
 
 def board_title(title: Column, url: Column) -> Column:
     """struct(title, company) of a job board's title."""
-    tidy = clean_title(F.regexp_replace(title, r"(?i)\s*\|\s*(LinkedIn|Indeed\.com|Glassdoor|Monster)\s*$", ""))
-    pair = lambda t, c: F.struct(clean_title(t).alias("title"), c.alias("company"))
-    inferred = company_of_url(url)
-    role, firm = F.regexp_extract(tidy, APPLICATION, 1), clean_title(F.regexp_extract(tidy, APPLICATION, 2))
-    applied = tidy.rlike(APPLICATION)
-    before = F.regexp_extract(tidy, r"(?s)^(.*) at (?:.*)$", 1)
-    after = clean_title(F.split_part(F.regexp_extract(tidy, r"(?s)^.* at (.*)$", 1), F.lit(" | "), F.lit(1)))
-    dash = tidy.contains(" - ") & F.lower(url).contains("indeed.com")
-    left = F.split_part(tidy, F.lit(" - "), F.lit(1))
-    right = F.regexp_replace(tidy, r"(?s)^.*? - ", "")
+    tidy = F.regexp_replace(title, r"(?i)\s*\|\s*(LinkedIn|Indeed\.com|Glassdoor|Monster)\s*$", "")
+    facts = F.struct(let(tidy, clean_title).alias("title"), company_of_url(url).alias("inferred"), F.lower(url).contains("indeed.com").alias("indeed"))
+    return let(let(facts, _title_parts), _parsed_title)
+
+
+def _title_parts(f: Column) -> Column:
+    title, cut = f["title"], lambda c: F.split_part(c, F.lit(" | "), F.lit(1))
+    after = cut(F.regexp_extract(title, r"(?s)^.* at (.*)$", 1))
+    return F.struct(
+        f["title"], f["inferred"], f["indeed"], title.rlike(APPLICATION).alias("applied"), clean_title(F.regexp_extract(title, APPLICATION, 1)).alias("role"),
+        clean_title(F.regexp_extract(title, APPLICATION, 2)).alias("firm"), clean_title(F.regexp_extract(title, r"(?s)^(.*) at (?:.*)$", 1)).alias("before"),
+        clean_title(after).alias("after"), clean_title(F.split_part(title, F.lit(" - "), F.lit(1))).alias("left"),
+        clean_title(cut(F.regexp_replace(title, r"(?s)^.*? - ", ""))).alias("right"),
+    )
+
+
+def _parsed_title(f: Column) -> Column:
+    pair = lambda t, c: F.struct(t.alias("title"), c.alias("company"))
     return (
-        F.when(applied & ~missing_company(firm), pair(role, firm))
-        .when(applied, pair(role, F.when(inferred != "", inferred).otherwise(firm)))
-        .when(tidy.contains(" at ") & ~missing_company(after), pair(before, after))
-        .when(dash, pair(F.split_part(right, F.lit(" | "), F.lit(1)), clean_title(left)))
-        .otherwise(F.struct(tidy.alias("title"), inferred.alias("company")))
+        F.when(f["applied"] & ~missing_company(f["firm"]), pair(f["role"], f["firm"]))
+        .when(f["applied"], pair(f["role"], F.when(f["inferred"] != "", f["inferred"]).otherwise(f["firm"])))
+        .when(f["title"].contains(" at ") & ~missing_company(f["after"]), pair(f["before"], f["after"]))
+        .when(f["indeed"] & f["title"].contains(" - "), pair(f["right"], f["left"]))
+        .otherwise(pair(f["title"], f["inferred"]))
     )
 
 
 def place_of_snippet(snippet: Column) -> Column:
     """The first place that a snippet names; empty if none."""
-    tidy = clean_title(snippet)
-    found = [F.regexp_extract(tidy, f"(?i){p}", 1) for p in L.SNIPPET_PLACE_PATTERNS]
-    found = [F.when((f != "") & ~F.lower(clean_title(f)).isin(L.NOT_PLACES), clean_title(f)) for f in found]
-    return F.coalesce(*found, F.lit(""))
+    return let(clean_title(snippet), _place_in)
+
+
+def _place_in(text: Column) -> Column:
+    found = F.array(*(F.regexp_extract(text, f"(?i){p}", 1) for p in L.SNIPPET_PLACE_PATTERNS))
+    named = F.filter(F.transform(F.filter(found, lambda f: f != ""), clean_title), lambda f: ~F.lower(f).isin(L.NOT_PLACES))
+    return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))
 
 
 def enriched(title: Column, company: Column, location: Column, url: Column, snippet: Column) -> dict[str, Column]:
@@ -108,13 +123,14 @@ def enriched(title: Column, company: Column, location: Column, url: Column, snip
     A company that a source states stays; only a missing one or a job board's
     name is replaced.
     """
-    parsed = board_title(title, url)
-    firm = F.when(missing_company(parsed["company"]) & (company_of_url(url) != ""), company_of_url(url)).otherwise(parsed["company"])
-    open_ = missing_company(company) | F.lower(company).startswith("job board")
+    def company_now(parsed: Column) -> Column:
+        open_ = missing_company(company) | F.lower(company).startswith("job board")
+        return F.when(open_, better_company(company, parsed["company"])).otherwise(company)
+
     return {
-        "title": better_title(title, parsed["title"]),
-        "company": F.when(open_, better_company(company, firm)).otherwise(company),
-        "location": better_place(location, place_of_snippet(snippet)),
+        "title": let(board_title(title, url), lambda p: better_title(title, p["title"])),
+        "company": let(board_title(title, url), company_now),
+        "location": let(place_of_snippet(snippet), lambda p: better_place(location, p)),
     }
 
 
@@ -125,16 +141,15 @@ def board_company(title: Column, url: Column) -> Column:
     at = F.regexp_replace(title, r"(?s)^.*? at ", "")
     slug = F.split_part(F.regexp_replace(host(url), r"^www\.", ""), F.lit("."), F.lit(1))
     parsed, inferred = board_title(title, url)["company"], company_of_url(url)
-    return (
-        F.when(low.contains("linkedin.com") & title.contains(" at "), clean_title(first(at)))
-        .when(low.contains("linkedin.com") & title.contains(" | "), clean_title(first(title)))
-        .when(low.contains("indeed.com") & title.contains(" - "), clean_title(F.split_part(title, F.lit(" - "), F.lit(1))))
-        .when(low.contains("indeed.com") & title.contains(" at "), clean_title(first(at)))
-        .when(parsed != "", parsed).when(inferred != "", inferred)
-        .when(title.contains(" at "), clean_title(at)).when(title.contains(" | "), clean_title(first(title)))
-        .when(slug.isin("jobs", "boards", "careers"), F.lit("Unknown Company"))
-        .otherwise(clean_title(F.replace(slug, F.lit("-"), F.lit(" "))))
+    of_slug = F.when(slug.isin("jobs", "boards", "careers"), F.lit("Unknown Company")).otherwise(F.replace(slug, F.lit("-"), F.lit(" ")))
+    named = (
+        F.when(low.contains("linkedin.com") & title.contains(" at "), first(at))
+        .when(low.contains("linkedin.com") & title.contains(" | "), first(title))
+        .when(low.contains("indeed.com") & title.contains(" - "), F.split_part(title, F.lit(" - "), F.lit(1)))
+        .when(low.contains("indeed.com") & title.contains(" at "), first(at))
     )
+    plain = F.when(title.contains(" at "), at).when(title.contains(" | "), first(title)).otherwise(of_slug)
+    return let(F.coalesce(named, F.nullif(parsed, F.lit("")), F.nullif(inferred, F.lit("")), plain), clean_title)
 
 
 def is_board_result(title: Column, url: Column, snippet: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .urls import contains_any
+from .urls import contains_any, let
 
 
 def joined(*parts: Column) -> Column:
@@ -24,6 +24,10 @@ def text_allowed(text: Column, markers: list[str]) -> Column:
 
     A remote word beside parentheses needs a marker as well.
     """
+    return let(text, lambda t: _allowed_text(t, markers))
+
+
+def _allowed_text(text: Column, markers: list[str]) -> Column:
     wanted = contains_any(text, markers)
     refused = F.lit(False)
     for country, cities in L.AMBIGUOUS_PLACES.items():
@@ -35,13 +39,12 @@ def text_allowed(text: Column, markers: list[str]) -> Column:
 
 def allowed(location: Column, title: Column, details: Column, markers: list[str]) -> Column:
     """May a posting at this place be shown? ``markers`` are lower-case place words."""
-    text = joined(location)
-    flexible = contains_any(text, L.FLEXIBLE_MARKERS)
-    named = contains_any(joined(location, title, details), markers)
+    flexible = let(joined(location), lambda t: contains_any(t, L.FLEXIBLE_MARKERS))
+    named = let(joined(location, title, details), lambda t: contains_any(t, markers))
     return (
         F.when(is_unknown(location), text_allowed(joined(title, details), markers))
         .when(flexible, named | text_allowed(joined(location, title), markers))
-        .otherwise(text_allowed(text, markers))
+        .otherwise(text_allowed(joined(location), markers))
     )
 
 

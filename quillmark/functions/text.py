@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .urls import contains_any, first_contained, posting_id
+from .urls import contains_any, first_contained, let, posting_id
 
 SPACE = r"(?U)\s+"
 
@@ -73,16 +73,20 @@ def season(title: Column) -> Column:
 def summary_text(values: Column, fallback: str, most: int = 280) -> Column:
     """At most two sentences and ``most`` characters of an array of texts."""
     tidy = F.trim(F.array_join(F.filter(F.transform(values, clean_text), lambda v: v != ""), " "))
-    sentences = F.filter(F.transform(F.split(tidy, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
-    one = F.try_element_at(sentences, F.lit(1))
-    two = F.concat_ws(" ", one, F.try_element_at(sentences, F.lit(2)))
-    short = F.substring(tidy, 1, most - 3)
-    short = F.when(short.contains(" "), F.regexp_replace(short, r"(?s) [^ ]*$", "")).otherwise(short)
-    short = F.regexp_replace(short, "[ ,;:]+$", "")
-    return (
-        F.when(tidy == "", F.lit(fallback)).when(F.length(two) <= most, two).when(F.length(one) <= most, one)
-        .when(short != "", F.concat(short, F.lit("..."))).otherwise(F.lit(fallback))
-    )
+
+    def cut(text: Column) -> Column:
+        short = F.substring(text, 1, most - 3)
+        short = F.when(short.contains(" "), F.regexp_replace(short, r"(?s) [^ ]*$", "")).otherwise(short)
+        short = F.regexp_replace(short, "[ ,;:]+$", "")
+        return F.when(short != "", F.concat(short, F.lit("..."))).otherwise(F.lit(fallback))
+
+    def shown(text: Column) -> Column:
+        first = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+", 3), F.trim), lambda s: s != "")
+        pair = F.struct(F.try_element_at(first, F.lit(1)).alias("one"), F.concat_ws(" ", F.try_element_at(first, F.lit(1)), F.try_element_at(first, F.lit(2))).alias("two"))
+        best = let(pair, lambda p: F.when(F.length(p["two"]) <= most, p["two"]).when(F.length(p["one"]) <= most, p["one"]))
+        return F.when(text == "", F.lit(fallback)).otherwise(F.coalesce(best, cut(text)))
+
+    return let(tidy, shown)
 
 
 def is_diagnostic(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,17 +34,23 @@ def query(url: Column) -> Column:
     return part(url, 4)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
-    """Does the text hold any of the words?"""
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
+    """Does the text hold any of the words? ``text`` is best a column, not an expression."""
+    if not words:
+        return F.lit(False)
+    if len(words) < 4:
+        return reduce(lambda found, word: found | text.contains(word), words[1:], text.contains(words[0]))
+    return F.exists(F.array(*map(F.lit, words)), lambda word: F.contains(text, word))
 
 
 def first_contained(text: Column, words: list[str]) -> Column:
     """The first of the words, in their order, that the text holds; else null."""
-    return F.coalesce(*(F.when(text.contains(word), F.lit(word)) for word in words), F.lit(None).cast("string"))
+    return F.try_element_at(F.filter(F.array(*map(F.lit, words)), lambda word: F.contains(text, word)), F.lit(1))
 
 
 def _plain(text: Column) -> Column:
@@ -112,26 +121,31 @@ def canonical(url: Column) -> Column:
     parameters, fragment and last slashes, are lower-cased whole, and have
     repeated keys side by side. Without scheme or host: trimmed lower case.
     """
-    tidy = F.trim(url)
+    return let(F.trim(url), _canonical)
+
+
+def _canonical(tidy: Column) -> Column:
     kept = F.filter(query_pairs(tidy), lambda p: ~F.lower(p["k"]).isin(L.TRACKING_PARAMETERS))
-    keys = F.array_distinct(F.transform(kept, lambda p: p["k"]))
-    grouped = F.flatten(F.transform(keys, lambda k: F.filter(kept, lambda p: p["k"] == k)))
-    joined = F.array_join(F.transform(grouped, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
-    whole = F.concat(part(tidy, 1), F.lit("://"), part(tidy, 2), path(tidy), F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit("")))
-    lacking = (part(tidy, 1) == "") | (part(tidy, 2) == "")
-    plain = F.when(lacking, F.lower(tidy)).otherwise(F.regexp_replace(F.lower(whole), "/+$", ""))
-    return F.when(is_linkedin(url), linkedin_canonical(url)).when(is_indeed(url), indeed_canonical(url)).otherwise(plain)
+
+    def grouped(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        return F.flatten(F.transform(keys, lambda k: F.filter(pairs, lambda p: p["k"] == k)))
+
+    shown = F.transform(let(kept, grouped), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"])))
+    asked = F.when(query(tidy) == "", F.lit("")).otherwise(let(F.array_join(shown, "&"), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))))
+    whole = F.lower(F.concat(F.regexp_extract(tidy, "(?s)^[^?#]*", 0), asked))
+    lacking = ~tidy.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]")
+    plain = F.when(lacking, F.lower(tidy)).otherwise(F.regexp_replace(whole, "/+$", ""))
+    return F.when(is_linkedin(tidy), linkedin_canonical(tidy)).when(is_indeed(tidy), indeed_canonical(tidy)).otherwise(plain)
 
 
 def posting_id(url: Column) -> Column:
-    found = canonical(url)
-    return F.when(found != "", found).otherwise(F.lower(F.trim(url)))
+    return F.coalesce(F.nullif(canonical(url), F.lit("")), F.lower(F.trim(url)))
 
 
 def stable_id(url: Column, title: Column, provider: Column) -> Column:
     slug = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    found = canonical(url)
-    return F.when(found != "", found).otherwise(F.concat(provider, F.lit(":"), slug))
+    return F.coalesce(F.nullif(canonical(url), F.lit("")), F.concat(provider, F.lit(":"), slug))
 
 
 def navigation(url: Column) -> Column:

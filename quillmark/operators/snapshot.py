@@ -45,7 +45,8 @@ def detect_changes(current: DataFrame, history: DataFrame) -> Detection:
     alternate = F.col("by_id").isNull() & (F.col("by_role.posting_id") != F.col("posting_id"))
     rows = rows.withColumn("by_role_only", F.coalesce(alternate, F.lit(False)))
     rows = rows.withColumn("p", F.coalesce(F.col("by_id"), F.when(F.col("by_role_only"), F.col("by_role"))))
-    moved = urls.posting_id(F.col("p.posting_url")) != F.col("posting_id")
+    rows = rows.withColumn("moved", urls.posting_id(F.col("p.posting_url")) != F.col("posting_id"))
+    moved = F.col("moved")
     quoted = lambda name: F.concat(F.lit(f"{name} changed from '"), F.col(f"p.{name}"), F.lit("' to '"), F.col(name), F.lit("'"))
     details = F.array_compact(F.array(
         F.when(F.col("by_role_only") & moved, F.concat(F.lit("URL changed from "), F.col("p.posting_url"), F.lit(" to "), F.col("posting_url"))),
@@ -83,7 +84,7 @@ def detect_changes(current: DataFrame, history: DataFrame) -> Detection:
     last = Window.partitionBy("posting_id").orderBy(F.desc("current_id"))
     written = matched.withColumn("_n", F.row_number().over(last)).where("_n = 1").select(HISTORY_FIELDS)
     after = written.unionByName(gone.withColumn("active", F.lit(False)).select(HISTORY_FIELDS))
-    return Detection(changes, matched.where("status = 'new'").drop("p", "by_id", "by_role"), after)
+    return Detection(changes, matched.where("status = 'new'").drop("p", "by_id", "by_role", "by_role_only", "moved"), after)
 
 
 def with_role_keys(history: DataFrame) -> DataFrame:
