@@ -81,3 +81,15 @@ def upto(count: Column | int) -> Column:
     """One row for each of 0..count-1 (count is 1 at least)."""
     last = (count if isinstance(count, Column) else F.lit(count)).cast("long") - 1
     return F.explode(F.sequence(F.lit(0).cast("long"), last))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

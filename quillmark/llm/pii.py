@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, fresh
 
 KINDS = ["email", "ip", "card", "phone", "number"]
 #: What the base patterns match (fixed patterns), written without backtracking:
@@ -259,12 +259,13 @@ def redacted(docs: DataFrame) -> DataFrame:
     set to the new length.
     """
     threshold, out = model()[1], docs
+    found, between = fresh(docs, "_m", "_g")
     for kind in ("email", "phone", "card", "ip"):
         matches, gaps = _found(kind, F.col("text"))
-        zipped = F.arrays_zip(F.col("_m").alias("m"), F.slice("_g", F.lit(1), F.size("_m")).alias("g"))
-        whole = F.concat(F.array_join(F.transform(zipped, _replacer(kind, threshold)), ""), F.element_at("_g", -1))
-        out = out.withColumns({"_m": matches, "_g": gaps})
-        out = out.withColumn("text", F.when(F.size("_m") > 0, whole).otherwise(F.col("text"))).drop("_m", "_g")
+        zipped = F.arrays_zip(F.col(found).alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("g"))
+        whole = F.concat(F.array_join(F.transform(zipped, _replacer(kind, threshold)), ""), F.element_at(between, -1))
+        out = out.withColumns({found: matches, between: gaps})
+        out = out.withColumn("text", F.when(F.size(found) > 0, whole).otherwise(F.col("text"))).drop(found, between)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, fresh, ship
 from .components import block_roots, connected
 
 FAN = 4
@@ -223,15 +223,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of rows equal in both, one. Its columns stay as they are.
     """
     found = simhash_components(docs)
+    key, digest, other, same, nth = fresh(docs, "_key", "_sum", "_id", "_hash", "_n")
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    keep = found.groupBy(group.alias("_group")).agg(best).select(
-        F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash")
+    keep = found.groupBy(group.alias("group")).agg(best).select(
+        F.col("best.doc_id").alias(other), F.col("best.text_hash").alias(same)
     ).distinct()
-    rows = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_sum": F.xxhash64("text")})
-    rows = rows.join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_hash")), "left_semi")
-    same = Window.partitionBy("_key", "_sum").orderBy("_key")
-    return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
+    rows = docs.withColumns({key: F.col("doc_id").cast("long"), digest: F.xxhash64("text")})
+    rows = rows.join(keep, F.col(key).eqNullSafe(F.col(other)) & (F.col(digest) == F.col(same)), "left_semi")
+    copies = Window.partitionBy(key, digest).orderBy(key)
+    return rows.withColumn(nth, F.row_number().over(copies)).where(F.col(nth) == 1).select(docs.columns)
 
 
 def _forest(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
