@@ -157,9 +157,8 @@ def units(codes: DataFrame, limit: int, most: int) -> DataFrame:
     masks, done = [0], None
     while masks:
         table = {mask: _next_masks(mask, limit + 1) for mask in masks}
-        entries = [x for m, after in table.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(a)).cast("long") for a in after)))]
-        entries = [x.cast("long") if i % 2 == 0 else x for i, x in enumerate(entries)]
-        level = level.select("fp", F.explode(F.element_at(F.create_map(*entries), F.col("mask"))).alias("mask"))
+        entries = ", ".join(f"{_signed(m)}L, array({', '.join(f'{_signed(x)}L' for x in after)})" for m, after in table.items())
+        level = level.select("fp", F.explode(F.element_at(F.expr(f"map({entries})"), F.col("mask"))).alias("mask"))
         level = level.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = level.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1")
         level = level.join(sizes, ["mask", "pattern"])
@@ -172,7 +171,6 @@ def units(codes: DataFrame, limit: int, most: int) -> DataFrame:
         level = level.where(F.col("n") > most)
         if masks and level.isEmpty():
             break
-        masks = masks if masks else []
     return done
 
 

@@ -33,7 +33,7 @@ def _products(block: np.ndarray, query: np.ndarray) -> np.ndarray:
     if top * max(1, block.shape[1]) < EXACT:
         return (block.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
     exact = [sum(int(x) * int(y) for x, y in zip(row, query)) for row in block]
-    return np.array([min(LONG, max(-LONG - 1, v)) for v in exact], dtype=np.int64)
+    return np.array([min(LONG, max(-LONG, v)) for v in exact], dtype=np.int64)
 
 
 def search(cands: pd.DataFrame, queries: pd.DataFrame, k: int, step: int = 512) -> list[tuple]:
