@@ -117,12 +117,13 @@ def excluded_by_type(spark, sf_dir):
     return screening.excluded_by_type(_screened(spark, sf_dir))
 
 
-@register(f"{O.WITH}, {O.SCORED} SELECT ord, score, CASE WHEN score >= 75 THEN 'strong' WHEN score >= 50 THEN 'medium' ELSE 'weak' END AS fit_level, len(good) AS n_preferences FROM scored")
+@register(f"""{O.WITH}, {O.SCORED} SELECT title, company, posting_url, score, CASE WHEN score >= 75 THEN 'strong' WHEN score >= 50 THEN 'medium' ELSE 'weak' END AS fit_level, len(good) AS n_preferences, count(*) AS n
+FROM scored GROUP BY ALL""")
 def fit_score(spark, sf_dir):
-    rows = _scored(spark, sf_dir).join(postings(spark, sf_dir).select("ord", "posting_url", "title", "company", "location", "date_collected", "source_url"), ["posting_url", "title", "company", "location", "date_collected", "source_url"])
     said = F.try_element_at(F.filter("explanations", lambda e: e.startswith("Matches preferences: ")), F.lit(1))
     n = F.when(said.isNull(), 0).otherwise(F.size(F.split(said, ", "))).cast("long")
-    return rows.groupBy("ord").agg(F.first("score").alias("score"), F.first("fit_level").alias("fit_level"), F.first(n).alias("n_preferences"))
+    rows = _scored(spark, sf_dir).withColumn("n_preferences", n)
+    return rows.groupBy("title", "company", "posting_url", "score", "fit_level", "n_preferences").agg(F.count("*").alias("n"))
 
 
 @register(f"""{O.WITH}, {O.SCORED} SELECT DISTINCT title, company, posting_url, score FROM scored WHERE score >= 60
