@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .urls import contains_any, first_contained, let, posting_id
+from .urls import contains_any, first_contained, let
 
 SPACE = r"(?U)\s+"
 
@@ -35,10 +35,13 @@ def role_key(company: Column, title: Column, location: Column) -> Column:
     return F.concat_ws("|", role_text(company), role_text(title), role_text(place))
 
 
-def content_hash(title: Column, company: Column, location: Column, url: Column, source_url: Column) -> Column:
-    """A digest of what counts as a posting's content; eligibility and date don't."""
+def content_hash(title: Column, company: Column, location: Column, posting_id: Column, source_url: Column) -> Column:
+    """A digest of what counts as a posting's content; eligibility and date don't.
+
+    ``posting_id`` is the address in its canonical form.
+    """
     return F.sha2(F.to_json(F.struct(
-        company.alias("company"), location.alias("location"), posting_id(url).alias("posting_url"),
+        company.alias("company"), location.alias("location"), posting_id.alias("posting_url"),
         source_url.alias("source_url"), title.alias("title"),
     )), 256)
 

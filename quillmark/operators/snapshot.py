@@ -35,7 +35,7 @@ def detect_changes(current: DataFrame, history: DataFrame) -> Detection:
     """
     kept, duplicates = one_per_role(with_order(current))
     now = kept.withColumn("content_hash", text.content_hash(
-        F.col("title"), F.col("company"), F.col("location"), F.col("posting_url"), F.col("source_url")
+        F.col("title"), F.col("company"), F.col("location"), F.col("posting_id"), F.col("source_url")
     ))
     old = with_order(history)
     past = F.struct(*HISTORY_FIELDS)
@@ -45,7 +45,7 @@ def detect_changes(current: DataFrame, history: DataFrame) -> Detection:
     alternate = F.col("by_id").isNull() & (F.col("by_role.posting_id") != F.col("posting_id"))
     rows = rows.withColumn("by_role_only", F.coalesce(alternate, F.lit(False)))
     rows = rows.withColumn("p", F.coalesce(F.col("by_id"), F.when(F.col("by_role_only"), F.col("by_role"))))
-    rows = rows.withColumn("moved", urls.posting_id(F.col("p.posting_url")) != F.col("posting_id"))
+    rows = rows.withColumn("moved", F.when(F.col("by_role_only") | ~F.col("p.active"), urls.posting_id(F.col("p.posting_url")) != F.col("posting_id")))
     moved = F.col("moved")
     quoted = lambda name: F.concat(F.lit(f"{name} changed from '"), F.col(f"p.{name}"), F.lit("' to '"), F.col(name), F.lit("'"))
     details = F.array_compact(F.array(

@@ -22,7 +22,7 @@ COLUMNS = {
     "ord": "o_orderkey", "title": TITLE, "company": "concat('Company ', o_custkey % 40)", "location": PLACE, "posting_url": URL,
     "date_collected": "concat('2026-07-0', o_orderkey % 9 + 1)",
     "source_url": "CASE WHEN o_orderkey % 5 = 0 THEN 'job-board://web' ELSE 'https://www.example.org' END",
-    "eligibility_text": ELIGIBILITY,
+    "eligibility_text": ELIGIBILITY, "seen_on": "o_orderdate", "state": "o_orderstatus",
 }
 #: The same table as SQL.
 POSTINGS = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in COLUMNS.items()) + " FROM orders"

@@ -127,12 +127,12 @@ def fit_score(spark, sf_dir):
 
 
 @register(f"""{O.WITH}, {O.SCORED} SELECT DISTINCT title, company, posting_url, score FROM scored WHERE score >= 60
-AND posting_url NOT IN (SELECT posting_url FROM postings WHERE ord % 11 = 0) AND posting_url NOT IN (SELECT posting_url FROM postings WHERE ord % 17 = 0)
+AND posting_url NOT IN (SELECT posting_url FROM postings WHERE seen_on < '1995-06-01') AND posting_url NOT IN (SELECT posting_url FROM postings WHERE seen_on >= '2000-06-01' AND state = 'P')
 AND CASE WHEN lower(trim(location)) IN ('', 'unknown') THEN {O.text_allowed(O.join_texts('title'))} WHEN {O.any_in('lower(location)', L.FLEXIBLE_MARKERS)}
  THEN {O.any_in(O.join_texts('location', 'title'), MARKERS)} OR {O.text_allowed(O.join_texts('location', 'title'))} ELSE {O.text_allowed('lower(trim(location))')} END""")
 def email_selection(spark, sf_dir):
     all_ = postings(spark, sf_dir)
-    rows = digest.selected(_scored(spark, sf_dir), all_.where("ord % 11 = 0"), all_.where("ord % 17 = 0"), MARKERS)
+    rows = digest.selected(_scored(spark, sf_dir), all_.where("seen_on < '1995-06-01'"), all_.where("seen_on >= '2000-06-01' and state = 'P'"), MARKERS)
     return rows.select("title", "company", "posting_url", "score").distinct()
 
 
@@ -164,7 +164,7 @@ def connection_lookup(spark, sf_dir):
 
 
 _HALVES = f"""{O.WITH.replace('postings AS', 'everything AS')},
- old_raw AS (SELECT * FROM everything WHERE ord % 4 <> 0), now_raw AS (SELECT * REPLACE (CASE WHEN ord % 10 = 3 THEN concat(title, ' II') ELSE title END AS title) FROM everything WHERE ord % 3 <> 0)"""
+ old_raw AS (SELECT * FROM everything WHERE seen_on < '1999-07-01'), now_raw AS (SELECT * REPLACE (CASE WHEN ord % 10 = 3 THEN concat(title, ' II') ELSE title END AS title) FROM everything WHERE seen_on >= '1997-01-01')"""
 
 
 def _roles_of(source: str, out: str) -> str:
@@ -185,16 +185,16 @@ _CDC = f"""{_HALVES}, {_roles_of('old_raw', 'h0')}, {_roles_of('now_raw', 'n0')}
 
 
 def _detection(spark, sf_dir) -> snapshot.Detection:
-    """Three quarters of the postings as history, two thirds, some retitled, as this run."""
+    """The postings seen before mid-1999 as history, those since 1997, some retitled, as this run."""
     rows = postings(spark, sf_dir)
-    old = dedupe.one_per_role(rows.where("ord % 4 <> 0"))[0]
-    digest_ = text.content_hash(F.col("title"), F.col("company"), F.col("location"), F.col("posting_url"), F.col("source_url"))
+    old = dedupe.one_per_role(rows.where("seen_on < '1999-07-01'"))[0]
+    digest_ = text.content_hash(F.col("title"), F.col("company"), F.col("location"), F.col("posting_id"), F.col("source_url"))
     history = old.select(
         "ord", "posting_id", "title", "company", "location", "posting_url", "source_url", F.col("date_collected").alias("first_seen"),
         F.col("date_collected").alias("last_seen"), digest_.alias("content_hash"), (F.col("ord") % 7 != 0).alias("active"), "role_key",
     )
     retitled = F.when(F.col("ord") % 10 == 3, F.concat("title", F.lit(" II"))).otherwise(F.col("title"))
-    return snapshot.detect_changes(rows.where("ord % 3 <> 0").withColumn("title", retitled), history)
+    return snapshot.detect_changes(rows.where("seen_on >= '1997-01-01'").withColumn("title", retitled), history)
 
 
 @register(f"""{_CDC} SELECT CASE WHEN pid IS NULL THEN 'new' WHEN NOT pactive OR phash <> hash THEN 'changed' ELSE 'seen' END AS status, coalesce(pid, posting_id) AS posting_id,
@@ -283,18 +283,18 @@ def _review_rows(spark, sf_dir) -> DataFrame:
         "concat('https://e.com/job/', doc_id) posting_url", "50 + 30 * quality score", "case when quality = 1 then 'strong' else 'medium' end fit_level",
         "cast(array() as array<string>) explanations", "cast(array() as array<string>) gaps",
     )
-    reviews = labels.where("doc_id % 5 = 0").selectExpr("concat('https://e.com/job/', doc_id) posting_url", "case when toxic = 1 then 'ignored' else 'applied' end status")
+    reviews = labels.selectExpr("concat('https://e.com/job/', doc_id) posting_url", "case when toxic = 1 then 'ignored' when quality = 1 then 'applied' else ' ' end status")
     url = lambda rows: rows.selectExpr("concat('https://e.com/job/', doc_id) posting_url")
     notes = labels.limit(0).selectExpr("'' posting_url", "'' notes")
     links = spark.createDataFrame([(f"src{i}", i % 2 == 0) for i in range(20)], "company string, has_connection boolean")
     docs_ids = table(spark, sf_dir, "documents")
     return review.reviewable(
-        docs, scored_, reviews, notes, links, url(docs_ids.where("doc_id % 9 = 0")), url(docs_ids.where("doc_id % 10 = 0")), url(docs_ids.where("doc_id % 4 = 0")), [], MARKERS
+        docs, scored_, reviews, notes, links, url(docs_ids.where("lang = 'en'")), url(docs_ids.where("source = 'src3'")), url(docs_ids.where("n_chars > 4000")), [], MARKERS
     )
 
 
-_STAR = """WITH r AS (SELECT d.doc_id, d.source AS company, 50 + 30 * l.quality AS score, CASE WHEN l.doc_id IS NULL OR d.doc_id % 5 <> 0 THEN 'to_review' WHEN l.toxic = 1 THEN 'not_interested' ELSE 'applied' END AS review_status,
- CASE WHEN d.doc_id % 10 = 0 THEN 'emailed' WHEN d.doc_id % 4 = 0 THEN 'inactive' WHEN l.doc_id IS NULL THEN 'not_scored' ELSE 'ready' END AS email_status, d.doc_id % 9 = 0 AS is_new,
+_STAR = """WITH r AS (SELECT d.doc_id, d.source AS company, 50 + 30 * l.quality AS score, CASE WHEN l.toxic = 1 THEN 'not_interested' WHEN l.quality = 1 THEN 'applied' ELSE 'to_review' END AS review_status,
+ CASE WHEN d.source = 'src3' THEN 'emailed' WHEN d.n_chars > 4000 THEN 'inactive' WHEN l.doc_id IS NULL THEN 'not_scored' ELSE 'ready' END AS email_status, d.lang = 'en' AS is_new,
  regexp_extract(d.source, '[0-9]+')::INT % 2 = 0 AS has_connection, coalesce(50 + 30 * l.quality >= 60, false) AS recommended FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
