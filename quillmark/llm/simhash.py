@@ -189,7 +189,7 @@ def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 2048) -
     Returns doc_id, fingerprint (16 hex digits), component_id, text_hash.
     """
     rows = cut(fingerprints(docs))
-    codes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    codes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     grouped = units(codes, limit, unit_rows).repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "fp")
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,12 +208,26 @@ def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 2048) -
     roots = connected(edges)
     classes = roots.join(codes, roots["node"] == codes["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(classes, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("joined"))
-    known = codes.join(linked, "fp", "left").select("fp", F.coalesce("joined", "first").alias("component_id"))
-    return rows.join(known, "fp").select(
+    known = codes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("joined", "first").alias("component_id"))
+    return _labelled(rows, known).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash"
     )
 
 
+def _labelled(rows: DataFrame, known: DataFrame, share: int = 1_000) -> DataFrame:
+    """``rows`` with their code's component.
+
+    Codes of over 1 / ``share`` of the rows, of which there are ``share`` at
+    most, are broadcast, so that a hot code's rows stay where they are; the
+    others are joined by code.
+    """
+    least = rows.count() / share
+    hot = F.broadcast(known.where(F.col("copies") > least).select("fp", "component_id"))
+    cold = known.where(F.col("copies") <= least).select("fp", "component_id")
+    few = rows.join(hot, "fp")
+    return few.unionByName(rows.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component of :func:`simhash_components`.
 

@@ -144,11 +144,11 @@ def near_vectors(
     base = cut(base.withColumn("embedding", F.when(ok, F.col("embedding"))))
     usable = base.where(F.col("embedding").isNotNull())
     total = usable.count()
-    sample = usable.orderBy(F.xxhash64("embedding"), "row").select("embedding").limit(sample_rows).collect()
+    sample = usable.orderBy(F.xxhash64("embedding"), "row").select("embedding").limit(sample_rows).toPandas()["embedding"]
     alone = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sample:
+    if not len(sample):
         return alone
-    width = max(2, max(len(r[0]) for r in sample))
+    width = max(2, max(map(len, sample)))
     half = width // 2
 
     def unit(value) -> np.ndarray:
@@ -162,7 +162,7 @@ def near_vectors(
             out[i, : min(width, len(x))] = x[:width]
         return out
 
-    points = padded([unit(r[0]) for r in sample])
+    points = padded([unit(x) for x in sample])
     codes = int(min(most_codes, max(1, round((total / cell_rows) ** 0.5))))
     books = (kmeans(points[:, :half], codes), kmeans(points[:, half:], codes))
     visits = visits_needed(points[:calibrate_rows], books, cosine, recall)
