@@ -62,8 +62,7 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Fingerprints of one unit in Gray order under nodes of up to FAN children.
 
-    Each node keeps the bits that all below it share (mask and pattern), less
-    those its parents already have.
+    Each node keeps the bits that all below it share, as a mask and a pattern.
     """
 
     def __init__(self, codes: np.ndarray) -> None:
@@ -75,13 +74,7 @@ class GrayIndex:
             cuts = np.arange(0, len(ones), FAN)
             ones, zeros = np.bitwise_and.reduceat(ones, cuts), np.bitwise_and.reduceat(zeros, cuts)
             levels.append((ones, zeros))
-        self.levels = []
-        above = np.zeros(1, dtype=np.uint64)
-        for ones, zeros in reversed(levels):
-            mask = ones | zeros
-            up = above[np.arange(len(mask)) // FAN] if self.levels else above
-            self.levels.append((mask, ones, mask & ~up))
-            above = mask
+        self.levels = [(ones | zeros, ones) for ones, zeros in reversed(levels)]
 
     def pairs(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """Places (in the given codes) of all pairs that differ in ``limit`` bits or fewer.
@@ -90,17 +83,18 @@ class GrayIndex:
         found so far between bits both share; beyond ``limit`` all of it is
         pruned. A step adds only bits that became shared at this level.
         """
-        left = right = np.zeros(1, dtype=np.int64)
+        left = right = np.zeros(1, dtype=np.int32)
         seen = np.zeros(1, dtype=np.uint64)
-        total = np.zeros(1, dtype=np.int64)
-        for depth, (mask, ones, _) in enumerate(self.levels):
+        total = np.zeros(1, dtype=np.uint8)
+        spread = np.arange(FAN, dtype=np.int32)
+        for depth, (mask, ones) in enumerate(self.levels):
             if depth:
-                spread = np.arange(FAN)
-                left = (left[:, None, None] * FAN + spread[None, :, None] + np.zeros_like(spread)[None, None, :]).ravel()
-                right = (right[:, None, None] * FAN + spread[None, None, :] + np.zeros_like(spread)[None, :, None]).ravel()
-                seen, total = np.repeat(seen, FAN * FAN), np.repeat(total, FAN * FAN)
+                parent = np.repeat(np.arange(len(left), dtype=np.int32), FAN * FAN)
+                left = (left[:, None, None] * np.int32(FAN) + spread[None, :, None] + np.zeros_like(spread)).ravel()
+                right = (right[:, None, None] * np.int32(FAN) + spread[None, None, :] + np.zeros_like(spread)[:, None]).ravel()
                 ok = (left <= right) & (right < len(mask))
-                left, right, seen, total = left[ok], right[ok], seen[ok], total[ok]
+                left, right, parent = left[ok], right[ok], parent[ok]
+                seen, total = seen[parent], total[parent]
             both = mask[left] & mask[right]
             total = total + np.bitwise_count((ones[left] ^ ones[right]) & both & ~seen)
             ok = total <= limit
@@ -174,7 +168,7 @@ def units(codes: DataFrame, limit: int, most: int) -> DataFrame:
     return done
 
 
-def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 2048) -> DataFrame:
+def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 1024) -> DataFrame:
     """Every document's fingerprint and the component of fingerprints it is in.
 
     Fingerprints of whole texts are linked at ``limit`` or fewer differing bits.
