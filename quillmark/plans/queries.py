@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import listing, metadata, places, text, urls
 from ..operators import crawl, dedupe, digest, discovery, monitor, review, rollup, scoring, screening, search, snapshot
+from ..sources import feeds
 from . import oracle as O
 from .fixtures import DISLIKES, INDUSTRIES, LIKES, MARKERS, POSTINGS, SOURCES, postings, sources, table
 
@@ -454,5 +455,62 @@ def registry_totals(spark, sf_dir):
     return discovery.registry_totals(rows)
 
 
+def _payloads(spark, sf_dir, record: str, wrap: str) -> DataFrame:
+    """One stored page per customer: the postings of its orders as a service would send them."""
+    rows = postings(spark, sf_dir).join(table(spark, sf_dir, "orders").selectExpr("o_orderkey ord", "o_custkey"), "ord")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.expr(record).alias("r")))), lambda x: x["r"])
+    pages = rows.groupBy("o_custkey").agg(F.first("company").alias("company"), listed.alias("records"))
+    return pages.select(F.lit(0).alias("page"), "company", F.concat(F.lit("https://c.example.com/"), "o_custkey").alias("careers_url"), F.to_json(F.expr(wrap)).alias("payload"))
+
+
+_FEED = r"""{head}, f AS (SELECT c.*, concat('https://c.example.com/', o.o_custkey) AS src, {url} AS link, trim(regexp_replace(title, '\s+', ' ', 'g')) AS tt FROM classified c JOIN orders o ON o.o_orderkey = c.ord WHERE {keep}),
+ one AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY src, link ORDER BY ord) = 1) SELECT tt AS title, company, location, link AS posting_url, src AS source_url FROM one WHERE is_specific"""
+
+
+@register(_FEED.format(head=f"{O.WITH}, {O.CLASSIFIED}", url="posting_url", keep="state <> 'P'"))
+def connector_listed_jobs(spark, sf_dir):
+    record = "struct(title, posting_url AS jobUrl, location, state <> 'P' AS isListed)"
+    pages = _payloads(spark, sf_dir, record, "struct(records AS jobs)")
+    return feeds.read_feed("ashby_api", pages, "2026-07-01").select("title", "company", "location", "posting_url", "source_url")
+
+
+@register(_FEED.format(head=f"{O.WITH}, {O.CLASSIFIED}", url="posting_url", keep="true"))
+def connector_office_locations(spark, sf_dir):
+    record = "struct(title, posting_url AS absolute_url, struct('elsewhere' AS name) AS location, array(struct('x' AS name, location AS location)) AS offices)"
+    pages = _payloads(spark, sf_dir, record, "struct(records AS jobs)")
+    return feeds.read_feed("greenhouse_api", pages, "2026-07-01").select("title", "company", "location", "posting_url", "source_url")
+
+
+@register("""SELECT page_id, CASE WHEN contains(site, 'example.net') THEN 'json_ld,embedded_json,semantic_detail,generic_links' WHEN contains(site, 'example.org') THEN 'lever_api,embedded_json,generic_links'
+ ELSE 'greenhouse_api,json_ld,embedded_json,generic_links' END AS tried FROM (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS site FROM pages)""")
+def connector_routing(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages")
+    url = F.replace(F.replace("url", F.lit("example.org"), F.lit("lever.co")), F.lit("example.com"), F.lit("greenhouse.io"))
+    return rows.select("page_id", F.array_join(feeds.strategies(F.lit("Acme"), url, F.lit("company_careers"), F.lit("auto")), ",").alias("tried"))
+
+
+@register("""SELECT page_id, i::INTEGER AS ord, concat(regexp_extract(url, '^[a-z]+://[^/?#]*', 0), m) AS target FROM (SELECT page_id, url, unnest(range(len(a))) AS i, unnest(a) AS m
+ FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS a FROM pages)) WHERE starts_with(m, '/')""")
+def link_resolution(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(crawl.page_links("html")).alias("ord", "link"))
+    return rows.where(F.col("link.href").startswith("/")).select("page_id", "ord", crawl.resolved("url", "link.href").alias("target"))
+
+
+@register(f"{O.WITH} SELECT ord, CASE WHEN trim(location) = '' THEN 'Unknown' ELSE array_to_string(list_transform(string_split(location, '|'), lambda p: trim(p)), ' | ') END AS places FROM postings")
+def location_lists(spark, sf_dir):
+    return postings(spark, sf_dir).select("ord", text.location_list(F.col("location")).alias("places"))
+
+
+@register(f"""{O.WITH} SELECT ord, CASE location WHEN 'Flexible' THEN CASE WHEN contains(lower(eligibility_text), 'new york') THEN 'New York | …' ELSE location END WHEN 'New York | Berlin' THEN 'New York | …' ELSE location END AS shown FROM postings""")
+def allowed_location_summary(spark, sf_dir):
+    return postings(spark, sf_dir).select("ord", places.allowed_summary(F.col("location"), F.col("eligibility_text"), MARKERS).alias("shown"))
+
+
+@register("SELECT n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 'to_review' WHEN 1 THEN 'not_interested' WHEN 2 THEN 'applied' ELSE 'to_review' END AS status FROM nation")
+def review_status_map(spark, sf_dir):
+    raw = F.element_at(F.array(*map(F.lit, ["Interested", " ignored", "APPLIED", "", "needs_follow_up"])), F.col("n_regionkey") + 1)
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), text.review_status(raw).alias("status"))
+
+
 FLAGSHIP = "email_selection"
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "POSTINGS", "QUERIES"]

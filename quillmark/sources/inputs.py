@@ -167,3 +167,37 @@ def preferences_markdown(likes: list[str], dislikes: list[str]) -> str:
     lines = ["## Things I like", "", *(f"{n}. {x}" for n, x in enumerate(likes, 1)), "", "## Things I don't like", "", *(f"{n}. {x}" for n, x in enumerate(dislikes, 1)), ""]
     preferences("\n".join(lines))
     return "\n".join(lines)
+
+
+EDITABLE = ("course_list.md", "connections.md", "resume_summary.md")
+
+
+def editable_text(folder: str, name: str) -> str:
+    """An optional text file's content, empty if it isn't there; only known names are read."""
+    if name not in EDITABLE:
+        raise InputError(f"{name} can't be edited")
+    path = Path(folder) / name
+    return path.read_text(encoding="utf-8") if path.exists() else ""
+
+
+def write_editable_text(folder: str, name: str, content: str) -> None:
+    """Replaces a known text file; courses must parse before and after."""
+    if name not in EDITABLE:
+        raise InputError(f"{name} can't be edited")
+    if name == "course_list.md":
+        courses(content)
+    path, new = Path(folder) / name, Path(folder) / f"{name}.new"
+    new.write_text(content, encoding="utf-8")
+    new.replace(path)
+
+
+def preferences_of(payload: dict) -> tuple[list[str], list[str]]:
+    """Likes and dislikes of a request: lists of texts, at least one like."""
+    likes, dislikes = payload.get("likes"), payload.get("dislikes", [])
+    for items in (likes, dislikes):
+        if not isinstance(items, list) or not all(isinstance(x, str) for x in items):
+            raise InputError("likes and dislikes are lists of texts")
+    clean = [[x.strip() for x in items if x.strip()] for items in (likes, dislikes)]
+    if not clean[0]:
+        raise InputError("at least one like is needed")
+    return clean[0], clean[1]

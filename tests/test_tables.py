@@ -234,3 +234,26 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_summaries(spark):
+    from quillmark.plans import summaries
+
+    rows = spark.createDataFrame([("A", "t1", "u1", 80, "strong", 5, "https://x.lever.co/1", True, ["Listing type: X."]), ("B", "t2", "u2", 60, "medium", 9, "https://y.com/2", False, ["Listing type: Y."])],
+                                 "company string, title string, url string, score int, fit_level string, relevance_score int, posting_url string, included boolean, reasons array<string>")
+    assert "- A: t1 (80, strong)" in summaries.scores(rows) and "By company:" in summaries.collection(rows, rows.limit(0))
+    assert "- Y: 1" in summaries.screening_result(rows) and "t2 (9)" in summaries.search_results(rows) and "No Indeed" in summaries.boards(rows)
+    assert summaries.block("T", []) == "T\n="
+
+
+def test_editable_inputs(tmp_path):
+    folder = str(tmp_path)
+    assert inputs.editable_text(folder, "connections.md") == ""
+    inputs.write_editable_text(folder, "connections.md", "hi")
+    assert inputs.editable_text(folder, "connections.md") == "hi"
+    for name, content in (("../x", "a"), ("course_list.md", "nothing")):
+        with pytest.raises(inputs.InputError):
+            inputs.write_editable_text(folder, name, content)
+    assert inputs.preferences_of({"likes": [" a ", ""], "dislikes": ["b"]}) == (["a"], ["b"])
+    with pytest.raises(inputs.InputError):
+        inputs.preferences_of({"likes": "a"})
