@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import listing, metadata, places, text, urls
 from ..operators import crawl, dedupe, digest, discovery, monitor, review, rollup, scoring, screening, search, snapshot
+from ..shipping import ship
 from ..sources import feeds
 from . import oracle as O
 from .fixtures import DISLIKES, INDUSTRIES, LIKES, MARKERS, POSTINGS, SOURCES, postings, sources, table
@@ -23,7 +25,12 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its name, with its SQL."""
 
     def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
+        @wraps(query)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return query(spark, sf_dir)
+
+        QUERIES[query.__name__] = shipped
         if sql is not None:
             ORACLE_SQL[query.__name__] = sql
         return query
