@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PACKAGE = __name__.partition(".")[0]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,23 +21,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's Python files to the executors, once a context."""
-    context = spark.sparkContext
-    if getattr(context, "_shipped_package", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(), f"{PACKAGE}.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
-    context.addPyFile(target)
-    context._shipped_package = True
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df``, written to the cluster's checkpoint folder and read back.
 

@@ -127,6 +127,8 @@ def top_k(
         found = search(left, right, k) if len(left) and len(right) else []
         return pd.DataFrame(found, columns=["row", "query_id", "vec_id", "score"])
 
+    # new names' ids, as both sides come from one table
+    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))
     keys = ["tile", "pack", "dim"]
     found = cands.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(pair, FOUND)
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")

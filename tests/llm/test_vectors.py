@@ -56,6 +56,7 @@ def test_near_vectors_match_brute_force(embeddings):
 
 
 def test_near_vectors_empty(embeddings):
+    assert vectors.near_vectors(embeddings).where("n_links > 0").count() > 40
     assert vectors.near_vectors(embeddings.limit(0)).count() == 0
     assert vectors.near_vectors(embeddings.where("vec_id = 400")).count() == 1
 
@@ -81,6 +82,7 @@ def test_top_k_matches_brute_force(embeddings):
     for size in (8192, 37):
         got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(embeddings, cand_rows=size, query_rows=3 if size == 37 else 2048).collect()]
         assert sorted(got) == sorted(want)
+    assert topk.top_k(embeddings).count() == len(want)
     assert topk.top_k(embeddings.limit(0)).count() == 0
 
 
