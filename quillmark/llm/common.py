@@ -7,11 +7,24 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship  # noqa: F401
+from .. import shipping
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows a batch that goes to Python, at most: whole texts are large rows.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors; lowers the session's rows a batch to BATCH_ROWS."""
+    shipping.ship(spark)
+    now = int(spark.conf.get(BATCH_SETTING, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

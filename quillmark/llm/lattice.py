@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import cut, ship
 
 MARK = "▁"
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 250_000
 END = b""
 ROWS = "row long, doc_id long, held_out boolean, n_tokens long, word binary, n long, n_known long, base double, score double"
 

@@ -14,8 +14,8 @@ from .common import cut, fresh, ship
 from .components import block_roots, connected
 
 FAN = 4
-ONE = np.uint64(1)
-FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows of units that are searched together; the last unit waits for its rest.
+READ_ROWS = 10_000
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42, block: int = 1 << 17) -> int:
@@ -187,16 +187,19 @@ def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 1024) -
     grouped = units(codes, limit, unit_rows).repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "fp")
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            held.append(batch)
+            if sum(map(len, held)) < READ_ROWS:
+                continue
+            rest = pd.concat(held, ignore_index=True)
             key = rest[["mask", "pattern"]].to_numpy()
-            whole = len(key) - int((key[::-1] == key[-1]).all(axis=1).argmin()) if (key[0] != key[-1]).any() else 0
-            if whole:
-                yield _forest(rest.iloc[:whole], limit)
-                rest = rest.iloc[whole:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield _forest(rest, limit)
+            last = int((key[::-1] == key[-1]).all(axis=1).argmin()) if (key[0] != key[-1]).any() else len(key)
+            if last < len(key):
+                yield _forest(rest.iloc[: len(key) - last], limit)
+            held = [rest.iloc[len(key) - last :]]
+        if held and sum(map(len, held)):
+            yield _forest(pd.concat(held, ignore_index=True), limit)
 
     edges = grouped.mapInPandas(forest, "u long, v long")
     roots = connected(edges)
