@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,11 @@ AGREED = "　"
 
 
 class Encoder:
-    """Ids of a text under one vocabulary, given for both libraries."""
+    """Ids of a text under one vocabulary, given for both libraries.
+
+    They are the JSON file's library's; it takes a literal added token, such as
+    the end of text, as that one token, so such texts go to it.
+    """
 
     def __init__(self, ranks_path: str, json_path: str, pattern: str) -> None:
         import tiktoken
@@ -29,15 +34,16 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.json_path, self.slow = json_path, None
+        with open(json_path, encoding="utf-8") as file:
+            self.added = [token["content"] for token in json.load(file).get("added_tokens") or []]
 
     def ids(self, text: str) -> np.ndarray:
-        if text.isascii() or max(text) < AGREED:
+        if (text.isascii() or max(text) < AGREED) and not any(token in text for token in self.added):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.json_path)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
