@@ -232,14 +232,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of rows equal in both, one. Its columns stay as they are.
     """
     found = simhash_components(docs)
-    key, digest, other, same, nth = fresh(docs, "_key", "_sum", "_id", "_hash", "_n")
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    return kept_rows(docs, found.select("doc_id", group.alias("group"), "text_hash"))
+
+
+def kept_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``docs`` cut to one row of each group of ``grouped`` (doc_id, group, text_hash), as :func:`one_of_each` says."""
+    key, digest, other, same, nth = fresh(docs, "_key", "_sum", "_id", "_hash", "_n")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    keep = found.groupBy(group.alias("group")).agg(best).select(
-        F.col("best.doc_id").alias(other), F.col("best.text_hash").alias(same)
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    keep = grouped.groupBy("group").agg(best).select(
+        name(F.col("best.doc_id")).alias(other), F.col("best.text_hash").alias(same)
     ).distinct()
-    rows = docs.withColumns({key: F.col("doc_id").cast("long"), digest: F.xxhash64("text")})
-    rows = rows.join(keep, F.col(key).eqNullSafe(F.col(other)) & (F.col(digest) == F.col(same)), "left_semi")
+    rows = docs.withColumns({key: name(F.col("doc_id").cast("long")), digest: F.xxhash64("text")})
+    rows = rows.join(keep, (F.col(key) == F.col(other)) & (F.col(digest) == F.col(same)), "left_semi")
     copies = Window.partitionBy(key, digest).orderBy(key)
     return rows.withColumn(nth, F.row_number().over(copies)).where(F.col(nth) == 1).select(docs.columns)
 
