@@ -346,9 +346,11 @@ def sitemap_urls(pages_: DataFrame) -> DataFrame:
     return rows.where(F.lower("url").rlike(r"/(?:positions?|jobs?)/")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MOST_PAGES).drop("_n", "ord")
 
 
-def confirmed_empty(html_pages: DataFrame, marker: str) -> DataFrame:
-    """Pages of closed or parked sources: each must hold the marker, and gives no posting."""
-    return html_pages.where(F.assert_true(F.lower("html").contains(marker), F.lit("the page no longer says that it is closed")).isNotNull()).limit(0)
+def confirmed_empty(html_pages: DataFrame, *markers: str) -> DataFrame:
+    """Pages of closed or parked sources: each must hold a marker, in its text or its HTML without blanks, and gives no posting."""
+    said = F.concat_ws("\n", F.lower(crawl.semantic_text(F.col("html"))), F.lower(F.regexp_replace("html", r"\s+", "")))
+    closed = F.assert_true(urls.contains_any(said, list(markers)), F.lit("the page no longer says that it is closed"))
+    return html_pages.where(closed.isNotNull())
 
 
 def strategies(company: Column, careers_url: Column, source_type: Column, collector: Column) -> Column:
@@ -384,7 +386,7 @@ HTML_READERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
     "json_ld": json_ld_postings, "embedded_json": embedded_json_postings, "lemonade_jobs": embedded_json_postings, "semantic_detail": semantic_postings,
     "pwc_jobs": lambda p, d: crawl.link_postings(p, d), "generic_links": lambda p, d: crawl.link_postings(p, d), "breezy_html": lambda p, d: crawl.link_postings(p, d),
     "teamtailor_html": lambda p, d: crawl.link_postings(p, d), "profusa_careers": lambda p, d: crawl.link_postings(p, d), "wix_positions": semantic_postings,
-    "closed_company": lambda p, d: json_ld_postings(confirmed_empty(p, "closed"), d), "parked_company_domain": lambda p, d: json_ld_postings(confirmed_empty(p, "window.location"), d),
+    "closed_company": lambda p, d: json_ld_postings(confirmed_empty(p, "company is no longer operating"), d), "parked_company_domain": lambda p, d: json_ld_postings(confirmed_empty(p, 'window.location.href="/lander"', "window.location.href='/lander'"), d),
     **{name: (lambda p, d, b=board: board_postings(p, b, d)) for name, board in BOARDS.items()},
 }
 
