@@ -10,13 +10,17 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from html import unescape
 from urllib.parse import parse_qs, urlencode, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import listing, text, urls
@@ -190,8 +194,8 @@ def fetched(spark: SparkSession, feed: Feed, fetch: Callable[[dict], str], sourc
     return spark.createDataFrame([(source, n, raw) for n, raw in pages(feed, fetch)], "source string, page int, payload string")
 
 
-def _postings(rows: DataFrame, specific: bool, collected: str, last_wins: bool = False) -> DataFrame:
-    """Cleans (ord, id, title, url, location, details, company, careers_url) and keeps one row an id."""
+def _postings(rows: DataFrame, specific: bool | None, collected: str, last_wins: bool = False) -> DataFrame:
+    """Cleans (ord, id, title, url, location, details, company, careers_url) and keeps one row an id; no test if ``specific`` is None."""
     title = text.clean_title(F.coalesce("title", F.lit("")))
     place = text.clean_text(F.coalesce("location", F.lit("")))
     rows = rows.where("coalesce(id, '') <> '' and coalesce(url, '') <> ''").withColumns({
@@ -200,6 +204,7 @@ def _postings(rows: DataFrame, specific: bool, collected: str, last_wins: bool =
     })
     fit = listing.classified(F.col("title"), F.col("posting_url"))["is_specific"]
     fit = fit if specific else listing.mentions_internship(F.lower("title"), F.lower("posting_url"))
+    fit = F.lit(True) if specific is None else fit
     order = Window.partitionBy("careers_url", "id").orderBy(F.desc("ord") if last_wins else F.col("ord"))
     rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").where(fit)
     return rows.select(
@@ -291,19 +296,95 @@ def json_ld_postings(html_pages: DataFrame, collected: str) -> DataFrame:
     return _postings(named.withColumn("id", F.col("url")), True, collected)
 
 
+RECORD_KEYS = {
+    "title": ("title", "jobTitle", "job_title", "name", "positionTitle"),
+    "url": ("url", "jobUrl", "job_url", "link", "applyUrl", "apply_url", "externalUrl"),
+    "location": ("location", "jobLocation", "job_location", "city"),
+}
+RECORD_WORDS = ("intern", "student", "graduate", "summer", "/job/")
+
+
+def _embedded(html: str | None) -> list:
+    """The JSON values that a page embeds for its own scripts."""
+    found = []
+    starts = list(re.finditer(r"serverInitialData\s*=\s*(?=\{)", html or ""))
+    starts += re.finditer(r"""(?i)<script[^>]*id=["']__NEXT_DATA__["'][^>]*>\s*""", html or "")
+    for start in starts:
+        for body in (html[start.end():], unescape(html[start.end():])):
+            try:
+                found.append(json.JSONDecoder().raw_decode(body)[0])
+                break
+            except ValueError:
+                continue
+    return found
+
+
+def _nodes(value) -> Iterator[dict]:
+    """Every object inside a JSON value, outer ones first."""
+    left = [value]
+    while left:
+        node = left.pop()
+        if isinstance(node, dict):
+            yield node
+        if isinstance(node, (dict, list)):
+            left.extend(reversed(list(node.values() if isinstance(node, dict) else node)))
+
+
+def _first(node: dict, keys: tuple[str, ...]) -> str:
+    """The first key's text, or the name or title of its object."""
+    for key in keys:
+        value = node.get(key)
+        if isinstance(value, dict):
+            value = value.get("name") or value.get("title")
+        if isinstance(value, str) and value.strip():
+            return value.strip()
+    return ""
+
+
+def _records(*fields: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+
+
+@F.pandas_udf(_records("title", "url", "location"))
+def job_records(html: pd.Series) -> pd.Series:
+    def one(page: str | None) -> list[dict]:
+        records = [(n, {f: _first(n, keys) for f, keys in RECORD_KEYS.items()}) for value in _embedded(page) for n in _nodes(value)]
+        said = lambda n: " ".join(str(n.get(k, "")) for k in ("title", "jobTitle", "name", "url", "jobUrl")).lower()
+        return [r for n, r in records if r["title"] and r["url"] and any(w in said(n) for w in RECORD_WORDS)]
+
+    return html.map(one)
+
+
+@F.pandas_udf(_records("title", "url", "location", "kind", "details"))
+def lemonade_records(html: pd.Series) -> pd.Series:
+    def one(page: str | None) -> list[dict]:
+        lists = [n["allRecipes"] for value in _embedded(page) for n in _nodes(value) if isinstance(n.get("allRecipes"), list)]
+        if not lists:
+            raise FeedError("the page's complete role list was not found")
+        text_of = lambda r, *keys: next((str(r[k]) for k in keys if r.get(k)), "")
+        return [
+            {"title": text_of(r, "title", "pageTitle"), "url": text_of(r, "link"), "location": text_of(r, "location"), "kind": text_of(r, "employmentType"),
+             "details": f"{text_of(r, 'employmentType')} {text_of(r, 'content')}"} for r in lists[0] if isinstance(r, dict)
+        ]
+
+    return html.map(one)
+
+
 def embedded_json_postings(html_pages: DataFrame, collected: str) -> DataFrame:
-    """Flat job records of the data that a page embeds for its own scripts, at any depth."""
-    data = r"""(?is)<script[^>]+id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>|serverInitialData\s*=\s*(\{.*?\})\s*;"""
-    body = F.coalesce(F.nullif(F.regexp_extract("html", data, 1), F.lit("")), F.regexp_extract("html", data, 2))
-    record = r'\{[^{}]*"(?:title|jobTitle|positionTitle|name)"\s*:\s*"[^"]+"[^{}]*\}'
-    rows = html_pages.select("page_url", "company", "careers_url", F.posexplode(F.regexp_extract_all(body, F.lit(record), F.lit(0))).alias("ord", "r"))
-    at = lambda *keys: F.coalesce(*(F.get_json_object("r", f"$.{k}") for k in keys))
-    named = rows.select("ord", crawl.resolved("careers_url", at("url", "jobUrl", "job_url", "link", "applyUrl", "apply_url", "externalUrl")).alias("url"),
-                        at("title", "jobTitle", "job_title", "name", "positionTitle").alias("title"), at("location", "jobLocation", "job_location", "city").alias("location"),
-                        at("description", "descriptionPlain", "qualifications", "requirements").alias("details"), "company", "careers_url")
+    """Job records of the data that a page embeds for its own scripts, at any depth."""
+    rows = html_pages.select("company", "careers_url", F.posexplode(job_records("html")).alias("ord", "r"))
+    named = rows.select("ord", crawl.resolved("careers_url", "r.url").alias("url"), "r.title", "r.location", F.lit("").alias("details"), "company", "careers_url")
     return _postings(named.withColumn("id", F.col("url")), True, collected)
 
 
+def lemonade_postings(html_pages: DataFrame, collected: str) -> DataFrame:
+    """The roles of the list ``allRecipes`` in a page's embedded data; their employment type counts for the test."""
+    rows = html_pages.select("company", "careers_url", F.posexplode(lemonade_records("html")).alias("ord", "r"))
+    named = rows.select("ord", crawl.resolved("careers_url", "r.url").alias("url"), "r.title", "r.location", "r.details", "r.kind", "company", "careers_url")
+    fit = listing.classified(F.concat_ws(" ", "title", "kind"), F.col("url"))["is_specific"]
+    return _postings(named.where(fit).withColumn("id", F.col("url")), None, collected)
+
+
 CLOSED = ["no longer accepting", "no longer available", "position has been filled", "job is closed", "applications are closed"]
 EVIDENCE = ["apply now", "responsibilities", "qualifications", "requirements", "job description", "how to apply"]
 
@@ -383,7 +464,7 @@ def strategies(company: Column, careers_url: Column, source_type: Column, collec
 
 #: Connectors that read HTML pages; those of one rule share a function.
 HTML_READERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
-    "json_ld": json_ld_postings, "embedded_json": embedded_json_postings, "lemonade_jobs": embedded_json_postings, "semantic_detail": semantic_postings,
+    "json_ld": json_ld_postings, "embedded_json": embedded_json_postings, "lemonade_jobs": lemonade_postings, "semantic_detail": semantic_postings,
     "pwc_jobs": lambda p, d: crawl.link_postings(p, d), "generic_links": lambda p, d: crawl.link_postings(p, d), "breezy_html": lambda p, d: crawl.link_postings(p, d),
     "teamtailor_html": lambda p, d: crawl.link_postings(p, d), "profusa_careers": lambda p, d: crawl.link_postings(p, d), "wix_positions": semantic_postings,
     "closed_company": lambda p, d: json_ld_postings(confirmed_empty(p, "company is no longer operating"), d), "parked_company_domain": lambda p, d: json_ld_postings(confirmed_empty(p, 'window.location.href="/lander"', "window.location.href='/lander'"), d),

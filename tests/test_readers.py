@@ -19,3 +19,11 @@ def test_closed_sources_are_checked(spark):
             feeds.read_html(name, page_of(spark, bad), "d").count()
     with pytest.raises(Exception, match="no longer says"):
         feeds.confirmed_empty(page_of(spark, "open"), "closed").count()
+
+
+def test_embedded_records_with_nested_objects(spark):
+    html = """<script id="__NEXT_DATA__" type="application/json">{"a":[{"title":"Data Intern 2027","url":"/job/b/2","location":{"name":"Rome"},"note":"{x};"}],
+"allRecipes":[{"pageTitle":"Claims Analyst","link":"/job/c/3","employmentType":"Summer internship","location":"Oslo","content":{"b":1}}]}</script>"""
+    read = lambda name: [(r["title"], r["location"], r["posting_url"]) for r in feeds.read_html(name, page_of(spark, html), "d").collect()]
+    assert read("embedded_json") == [("Data Intern 2027", "Rome", "https://acme.com/job/b/2")]
+    assert read("lemonade_jobs") == [("Claims Analyst", "Oslo", "https://acme.com/job/c/3")]
