@@ -399,6 +399,28 @@ def semantic_postings(html_pages: DataFrame, collected: str) -> DataFrame:
     return _postings(named, True, collected)
 
 
+def pwc_postings(html_pages: DataFrame, collected: str) -> DataFrame:
+    """Every /job/ path anywhere in a page; title and location are the path's."""
+    paths = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(r"""(?i)/job/[^"'\s<>]+"""), F.lit(0))))
+    rows = html_pages.select("company", "careers_url", F.posexplode(paths).alias("ord", "way"))
+    slug = F.split_part(F.element_at(F.split("way", "/"), -1), F.lit("?"), F.lit(1))
+    title = F.replace(F.replace(slug, F.lit("---"), F.lit(" - ")), F.lit("_"), F.lit(" "))
+    place = F.coalesce(F.try_element_at(F.filter(F.split("way", "/"), lambda p: ~p.isin("", "job")), F.lit(1)), F.lit(""))
+    place = F.replace(F.regexp_replace(place, "^[^-]*-", ""), F.lit("-"), F.lit(" "))
+    named = rows.select("ord", crawl.resolved("careers_url", "way").alias("url"), title.alias("title"), place.alias("location"), F.lit("").alias("details"), "company", "careers_url")
+    return _postings(named.withColumn("id", F.col("url")), True, collected)
+
+
+def wix_postings(html_pages: DataFrame, collected: str) -> DataFrame:
+    """Position pages, each one job: og:title, else the title, without the site's name."""
+    og = r"""(?i)property=["']og:title["'][^>]*content=["']([^"']+)["']|content=["']([^"']+)["'][^>]*property=["']og:title["']"""
+    named = [F.nullif(F.regexp_extract("html", og, n), F.lit("")) for n in (1, 2)]
+    title = F.coalesce(*named, F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    title = F.regexp_replace(F.trim(crawl.unescaped(F.regexp_replace(title, "<[^>]+>", " "))), r" \| Wix(?: Careers)?$", "")
+    rows = html_pages.select(F.lit(0).alias("ord"), F.col("page_url").alias("id"), F.col("page_url").alias("url"), title.alias("title"), F.lit("").alias("location"), F.lit("").alias("details"), "company", "careers_url")
+    return _postings(rows.where("title <> ''"), True, collected)
+
+
 def direct_posting(sources: DataFrame, collected: str) -> DataFrame:
     """Sources whose own address is one job: the title is the address's words."""
     slug = F.regexp_extract(F.regexp_replace(urls.path(F.col("careers_url")), "/+$", ""), r"([^/]*[A-Za-z][^/]*)(?:/[0-9]+)?$", 1)
@@ -465,8 +487,8 @@ def strategies(company: Column, careers_url: Column, source_type: Column, collec
 #: Connectors that read HTML pages; those of one rule share a function.
 HTML_READERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
     "json_ld": json_ld_postings, "embedded_json": embedded_json_postings, "lemonade_jobs": lemonade_postings, "semantic_detail": semantic_postings,
-    "pwc_jobs": lambda p, d: crawl.link_postings(p, d), "generic_links": lambda p, d: crawl.link_postings(p, d), "breezy_html": lambda p, d: crawl.link_postings(p, d),
-    "teamtailor_html": lambda p, d: crawl.link_postings(p, d), "profusa_careers": lambda p, d: crawl.link_postings(p, d), "wix_positions": semantic_postings,
+    "pwc_jobs": pwc_postings, "generic_links": lambda p, d: crawl.link_postings(p, d), "breezy_html": lambda p, d: crawl.link_postings(p, d),
+    "teamtailor_html": lambda p, d: crawl.link_postings(p, d), "profusa_careers": lambda p, d: crawl.link_postings(p, d), "wix_positions": wix_postings,
     "closed_company": lambda p, d: json_ld_postings(confirmed_empty(p, "company is no longer operating"), d), "parked_company_domain": lambda p, d: json_ld_postings(confirmed_empty(p, 'window.location.href="/lander"', "window.location.href='/lander'"), d),
     **{name: (lambda p, d, b=board: board_postings(p, b, d)) for name, board in BOARDS.items()},
 }

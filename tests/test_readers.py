@@ -27,3 +27,10 @@ def test_embedded_records_with_nested_objects(spark):
     read = lambda name: [(r["title"], r["location"], r["posting_url"]) for r in feeds.read_html(name, page_of(spark, html), "d").collect()]
     assert read("embedded_json") == [("Data Intern 2027", "Rome", "https://acme.com/job/b/2")]
     assert read("lemonade_jobs") == [("Claims Analyst", "Oslo", "https://acme.com/job/c/3")]
+
+
+def test_pwc_paths_and_wix_titles(spark):
+    html = """<script>var x = "/job/US-New-York/Tax-Intern---Summer-2027?id=1"</script><meta content="Data Intern 2027 | Wix Careers" property="og:title"><title>Other</title>"""
+    read = lambda name: [(r["title"], r["location"], r["posting_url"]) for r in feeds.read_html(name, page_of(spark, html, "https://acme.com/position/1"), "d").collect()]
+    assert read("pwc_jobs") == [("Tax-Intern - Summer-2027", "New York", "https://acme.com/job/US-New-York/Tax-Intern---Summer-2027?id=1")]
+    assert read("wix_positions") == [("Data Intern 2027", "Unknown", "https://acme.com/position/1")]
