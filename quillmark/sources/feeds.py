@@ -443,10 +443,12 @@ def notion_postings(payloads: DataFrame, collected: str) -> DataFrame:
 
 
 def sitemap_urls(pages_: DataFrame) -> DataFrame:
-    """(company, careers_url, url): job pages that a sitemap lists, 100 a source at most, as it is a crawl's limit."""
+    """(company, careers_url, url): job pages that a sitemap lists, once each; over MOST_PAGES of a source is an error, as in :func:`pages`."""
     rows = pages_.select("company", "careers_url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("ord", "url"))
-    order = Window.partitionBy("careers_url").orderBy("ord")
-    return rows.where(F.lower("url").rlike(r"/(?:positions?|jobs?)/")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MOST_PAGES).drop("_n", "ord")
+    rows = rows.where(F.lower("url").rlike(r"/(?:positions?|jobs?)/")).dropDuplicates(["careers_url", "url"])
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("careers_url")))
+    few = F.assert_true(F.col("_n") <= MOST_PAGES, F.lit(f"a sitemap lists more than {MOST_PAGES} job pages"))
+    return rows.where(few.isNull()).select("company", "careers_url", "url")
 
 
 def confirmed_empty(html_pages: DataFrame, *markers: str) -> DataFrame:

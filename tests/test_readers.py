@@ -34,3 +34,10 @@ def test_pwc_paths_and_wix_titles(spark):
     read = lambda name: [(r["title"], r["location"], r["posting_url"]) for r in feeds.read_html(name, page_of(spark, html, "https://acme.com/position/1"), "d").collect()]
     assert read("pwc_jobs") == [("Tax-Intern - Summer-2027", "New York", "https://acme.com/job/US-New-York/Tax-Intern---Summer-2027?id=1")]
     assert read("wix_positions") == [("Data Intern 2027", "Unknown", "https://acme.com/position/1")]
+
+
+def test_sitemaps_are_read_whole_or_fail(spark):
+    site = lambda n: "".join(f"<loc>https://acme.com/position/{i}</loc>" * 2 for i in range(n))
+    assert feeds.sitemap_urls(page_of(spark, site(100))).count() == 100
+    with pytest.raises(Exception, match="more than 100"):
+        feeds.sitemap_urls(page_of(spark, site(101))).count()
