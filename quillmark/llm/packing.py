@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -56,15 +57,24 @@ def encoder(*key: str) -> Encoder:
     return _encoders[key]
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each item goes to the fullest bin that still has room.
+def best_fit(sizes: np.ndarray, capacity: int, items: list[int], bins: list[list[int]] | None = None) -> list[list[int]]:
+    """``bins`` with ``items`` added in their order: each goes to the fullest bin that still has room, else to a new one.
 
     Bins are kept by room; the set bits of one integer are the rooms in use.
     """
-    bins: list[list[int]] = []
+    bins = [list(b) for b in bins or []]
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     used = 0
-    for item in np.argsort(-sizes, kind="stable").tolist():
+
+    def enter(room: int, where: int) -> None:
+        nonlocal used
+        by_room[room].append(where)
+        if room:
+            used |= 1 << room
+
+    for where, held in enumerate(bins):
+        enter(capacity - int(sizes[held].sum()), where)
+    for item in items:
         size = int(sizes[item])
         fits = used >> size
         if fits:
@@ -76,124 +86,151 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         else:
             room, where = capacity, len(bins)
             bins.append([item])
-        room -= size
-        by_room[room].append(where)
-        if room:
-            used |= 1 << room
+        enter(room - size, where)
     return bins
 
 
 class LocalSearch:
-    """Exchanges between underfull bins that raise the sum of squared fills.
-
-    Per step, one item of the emptiest bin is moved to another bin, exchanged
-    for a smaller item there, or for two items there whose sum is smaller;
-    always the change that raises squared fill the most. A bin that empties is
-    dropped. Ends at the lower bound, or when no bin's items admit a change.
+    """Exchanges between underfull bins that raise the sum of squared fills, until bins empty.
+
+    A source, the emptiest bin first, gives an item to another underfull bin (a
+    move), or gives one for a smaller one there (one for one), or for two there
+    whose sum is smaller (two for one). Offers of all other underfull bins are
+    kept by ``key``, the size that would fill the bin exactly: its room plus
+    what it would give back. So the least key not below an item's size is the
+    change that leaves the bin fullest. Equal sizes in a bin are one offer, so a
+    bin has at most about capacity offers. A bin that empties is dropped. The search ends at
+    the lower bound, or when no bin has a change left: the sum of squares only
+    grows, so it ends without a count of steps.
     """
 
+    KINDS = ("move", "one for one", "two for one")
+
     def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int) -> None:
-        self.sizes, self.capacity = sizes, capacity
+        self.sizes, self.capacity = sizes.tolist(), capacity
         self.bins = [list(b) for b in bins]
-        self.fill = np.array([int(sizes[b].sum()) for b in bins], dtype=np.int64)
-        self.bound = -(-int(self.fill.sum()) // capacity)
+        self.fill = [sum(self.sizes[x] for x in b) for b in bins]
+        self.bound = -(-sum(self.fill) // capacity)
         self.alive = len(bins)
-
-    def _tables(self, source: int) -> None:
-        """Items and pairs of the underfull bins but ``source``, as flat arrays."""
-        owners, items, pair_owner, one, two = [], [], [], [], []
-        for b in np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist():
-            if b == source:
-                continue
-            own = self.bins[b]
-            owners += [b] * len(own)
-            items += own
-            for i in range(len(own)):
-                for j in range(i):
-                    pair_owner.append(b)
-                    one.append(own[j])
-                    two.append(own[i])
-        self.owner, self.item = np.array(owners, dtype=np.int64), np.array(items, dtype=np.int64)
-        self.pair_owner, self.one, self.two = (np.array(x, dtype=np.int64) for x in (pair_owner, one, two))
-        self.pair_size = self.sizes[self.one] + self.sizes[self.two] if one else np.zeros(0, dtype=np.int64)
-
-    def _best(self, source: int, item: int) -> tuple[int, int, list[int]] | None:
-        """(gain, bin, items that come back) of the best change for ``item``."""
-        size, low = int(self.sizes[item]), int(self.fill[source])
-        best = None
-        options = (
-            (np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)), None),
-            (self.owner, self.sizes[self.item]),
-            (self.pair_owner, self.pair_size),
-        )
-        for kind, (owner, back) in enumerate(options):
-            if not len(owner):
-                continue
-            grown = size - (0 if back is None else back)
-            fill = self.fill[owner]
-            ok = (fill + grown <= self.capacity) & (owner != source) & (np.asarray(grown) > 0)
-            if not ok.any():
-                continue
-            gain = np.where(ok, (fill + grown) ** 2 - fill**2 + (low - grown) ** 2 - low**2, np.iinfo(np.int64).min)
-            at = int(gain.argmax())
-            if gain[at] > 0 and (best is None or gain[at] > best[0]):
-                returned = [] if kind == 0 else [int(self.item[at])] if kind == 1 else [int(self.one[at]), int(self.two[at])]
-                best = (int(gain[at]), int(owner[at]), returned)
-        return best
-
-    def run(self, steps: int) -> list[list[int]]:
-        """At most ``steps`` changes; each leaves a valid packing."""
-        stuck: set[int] = set()
-        while steps > 0 and self.alive > self.bound:
-            open_bins = [b for b in np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist() if b not in stuck]
-            if len(open_bins) == 0:
+        self.applied = dict.fromkeys(self.KINDS, 0)
+        self.version = [0] * len(bins)
+        # by key: a heap of (-room, bin, version, items given back); stale ones go when met
+        self.offers: list[list[tuple]] = [[] for _ in range(capacity + 1)]
+        self.used = 0
+
+    def _offer(self, b: int) -> None:
+        """Enters what bin ``b`` would take and give back."""
+        room = self.capacity - self.fill[b]
+        if not room or not self.fill[b]:
+            return
+        by_size: dict[int, list[int]] = {}
+        for x in self.bins[b]:
+            by_size.setdefault(self.sizes[x], []).append(x)
+        version, one = self.version[b], sorted(by_size)
+        self._enter(room, (-room, b, version, ()))
+        for i, size in enumerate(one):
+            self._enter(room + size, (-room, b, version, (by_size[size][0],)))
+            for other in one[:i]:
+                self._enter(room + size + other, (-room, b, version, (by_size[size][0], by_size[other][0])))
+            if len(by_size[size]) > 1:
+                self._enter(room + 2 * size, (-room, b, version, tuple(by_size[size][:2])))
+
+    def _enter(self, key: int, offer: tuple) -> None:
+        heapq.heappush(self.offers[key], offer)
+        self.used |= 1 << key
+
+    def _take(self, source: int, size: int, most: int) -> tuple[int, int, tuple] | None:
+        """(what stays free, bin, items given back) of the fullest fit that leaves under ``most`` free."""
+        low, keys, key = self.fill[source], self.used >> size, size
+        while keys:
+            step = (keys & -keys).bit_length() - 1
+            key += step
+            free = key - size
+            if free >= most:
+                return None
+            heap = self.offers[key]
+            while heap and self.version[heap[0][1]] != heap[0][2]:
+                heapq.heappop(heap)
+            if not heap:
+                self.used &= ~(1 << key)
+            elif -heap[0][0] > free:
+                room, b, _, back = heap[0]
+                grown = -room - free
+                if self.fill[b] - low + grown > 0:
+                    return free, b, back
+            keys >>= step + 1
+            key += 1
+        return None
+
+    def _improve(self, source: int) -> bool:
+        """Applies changes until ``source`` is empty or has none left; was there any?"""
+        self.version[source] += 1
+        changed = False
+        while self.fill[source]:
+            best = None
+            for size, item in sorted({self.sizes[x]: x for x in self.bins[source]}.items(), reverse=True):
+                found = self._take(source, size, self.capacity if best is None else best[0])
+                if found and (best is None or found[0] < best[0]):
+                    best = (found[0], item, found[1], found[2])
+                    if not found[0]:
+                        break
+            if best is None:
                 break
-            source = min(open_bins, key=lambda b: (self.fill[b], b))
-            self._tables(source)
-            changed = False
-            while steps > 0 and self.fill[source]:
-                found = [(f, x) for x in self.bins[source] if (f := self._best(source, x))]
-                if not found:
-                    break
-                (_, target, returned), item = max(found, key=lambda f: (f[0][0], -f[1]))
-                self._apply(source, item, target, returned)
-                changed = True
-                steps -= 1
-            if not self.fill[source]:
-                self.alive -= 1
-            elif not changed:
-                stuck.add(source)
-            if changed:
-                stuck.clear()
-                if self.fill[source]:
-                    stuck.add(source)
-        return [b for b in self.bins if b]
+            _, item, target, back = best
+            self._apply(source, item, target, back)
+            changed = True
+        if self.fill[source]:
+            self._offer(source)
+        else:
+            self.alive -= 1
+        return changed
 
-    def _apply(self, source: int, item: int, target: int, returned: list[int]) -> None:
-        for x in returned:
+    def _apply(self, source: int, item: int, target: int, back: tuple) -> None:
+        for x in back:
             self.bins[target].remove(x)
         self.bins[target].append(item)
         self.bins[source].remove(item)
-        self.bins[source] += returned
-        grown = int(self.sizes[item]) - int(self.sizes[returned].sum() if returned else 0)
+        self.bins[source] += back
+        grown = self.sizes[item] - sum(self.sizes[x] for x in back)
         self.fill[target] += grown
         self.fill[source] -= grown
-        keep = self.owner != target
-        own = [] if self.fill[target] == self.capacity else self.bins[target]
-        self.owner = np.concatenate([self.owner[keep], np.full(len(own), target, dtype=np.int64)])
-        self.item = np.concatenate([self.item[keep], np.array(own, dtype=np.int64)])
-        pairs = [(own[j], own[i]) for i in range(len(own)) for j in range(i)]
-        keep = self.pair_owner != target
-        self.pair_owner = np.concatenate([self.pair_owner[keep], np.full(len(pairs), target, dtype=np.int64)])
-        self.one = np.concatenate([self.one[keep], np.array([p[0] for p in pairs], dtype=np.int64)])
-        self.two = np.concatenate([self.two[keep], np.array([p[1] for p in pairs], dtype=np.int64)])
-        self.pair_size = self.sizes[self.one] + self.sizes[self.two] if len(self.one) else np.zeros(0, dtype=np.int64)
+        self.version[target] += 1
+        self._offer(target)
+        self.applied[self.KINDS[len(back)]] += 1
+
+    def run(self) -> list[list[int]]:
+        for b in range(len(self.bins)):
+            self._offer(b)
+        changed = True
+        while changed and self.alive > self.bound:
+            changed = False
+            waiting = [(f, b) for b, f in enumerate(self.fill) if 0 < f < self.capacity]
+            heapq.heapify(waiting)
+            while waiting and self.alive > self.bound:
+                fill, source = heapq.heappop(waiting)
+                if self.fill[source] == fill:
+                    changed |= self._improve(source)
+        return [b for b in self.bins if b]
+
 
+def pack(sizes: np.ndarray, capacity: int, applied: dict[str, int] | None = None) -> list[list[int]]:
+    """Bins of item numbers; every size is 1..capacity.
 
-def pack(sizes: np.ndarray, capacity: int, steps: int = 2_000) -> list[list[int]]:
-    """Bins of item numbers; every size is 1..capacity. At most ``steps`` exchanges."""
-    bins = best_fit(sizes, capacity)
-    return LocalSearch(bins, sizes, capacity).run(steps)
+    Items enter by classes of size, the large ones first, each class as it
+    comes and best fit; after each the local search rearranges and empties bins,
+    so that small items are left to fill what no exchange could. ``applied``,
+    if given, adds up the changes of each kind.
+    """
+    bins: list[list[int]] = []
+    above = capacity + 1
+    for least in (capacity // 2, capacity // 8, capacity // 32, 1):
+        items = np.flatnonzero((sizes >= least) & (sizes < above)).tolist()
+        above = min(above, least)
+        search = LocalSearch(best_fit(sizes, capacity, items, bins), sizes, capacity)
+        bins = search.run()
+        for kind, n in search.applied.items() if applied is not None else ():
+            applied[kind] = applied.get(kind, 0) + n
+    return bins
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, json_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -223,12 +260,11 @@ def best_fit_packing(
 
     A document is its ids and one ``end_id``; only longer ones are cut. Full
     pieces are sequences of their own. The others are dealt by hash to tiles of
-    about ``tile_rows`` pieces; a tile is packed best fit, then local search
-    empties bins. Tiles of that size lose less than a bin each, so more tiles
-    cost nothing that grows; texts and ids are never shuffled, only lengths.
+    about ``tile_rows`` pieces; a tile is packed by local search (:func:`pack`).
+    Tiles of that size lose about a bin each, so more tiles cost nothing that grows; texts and ids are never shuffled, only lengths.
 
-    Null text: empty, one token. Ties are broken by row. Repeated rows are
-    packed each. An empty table gives an empty result; other columns are not
+    Null and empty text: one token. A very long text is many pieces, encoded
+    whole. Ties are broken by row. Repeated rows are packed each. An empty table gives an empty result; other columns are not
     read. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     ship(docs.sparkSession)

@@ -112,20 +112,46 @@ def test_packing_on_odd_rows(odd, empty, reference):
 
 def test_local_search_empties_bins():
     rng = np.random.default_rng(4)
-    for capacity, n in ((100, 40), (2048, 300), (30, 200)):
-        sizes = rng.integers(1, capacity, n)
-        first = packing.best_fit(sizes, capacity)
+    for capacity, n, low in ((100, 40, 1), (2048, 300, 1), (30, 200, 1), (2048, 3000, 600), (2048, 2000, 1025), (7, 50, 1), (1, 5, 1)):
+        sizes = rng.integers(low, max(capacity, 2), n)
+        arrival = packing.best_fit(sizes, capacity, list(range(n)))
+        decreasing = packing.best_fit(sizes, capacity, np.argsort(-sizes, kind="stable").tolist())
         found = packing.pack(sizes, capacity)
         assert sorted(x for b in found for x in b) == list(range(n))
         assert max(int(sizes[b].sum()) for b in found) <= capacity
-        assert -(-int(sizes.sum()) // capacity) <= len(found) <= len(first)
+        assert -(-int(sizes.sum()) // capacity) <= len(found) <= min(len(arrival), len(decreasing))
+
+
+def test_each_change_raises_squared_fill():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 200, 400)
+    search = packing.LocalSearch(packing.best_fit(sizes, 512, list(range(400))), sizes, 512)
+    squares = [sum(f * f for f in search.fill)]
+    step = search._apply
+
+    def watched(*change):
+        step(*change)
+        squares.append(sum(f * f for f in search.fill))
+        assert search.fill == [int(sizes[b].sum()) if b else 0 for b in search.bins] and max(search.fill) <= 512
+
+    search._apply = watched
+    search.run()
+    assert all(a < b for a, b in zip(squares, squares[1:])) and len(squares) > 10
+
+
+def test_the_tables_packing_comes_through_the_search(spark):
+    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), RANKS, P.path("byte_bpe_50k.json"), P.PATTERN)
+    sizes = np.array([r["length"] for r in pieces.where("length < 2048").select("length").collect()])
+    applied = {}
+    found = packing.pack(sizes, 2048, applied)
+    assert min(applied.values()) > 0 and set(applied) == set(packing.LocalSearch.KINDS)
+    assert len(found) <= len(packing.best_fit(sizes, 2048, np.argsort(-sizes, kind="stable").tolist())) < len(packing.best_fit(sizes, 2048, list(range(len(sizes)))))
 
 
 def test_local_search_beats_best_fit():
     sizes = np.array([6, 5, 4, 3, 3, 3])  # best fit: 6+4, 5+3, 3+3 -> three; 6+... needs an exchange
-    bad = [[0], [1, 3], [2, 4, 5]]
-    search = packing.LocalSearch(bad, sizes, 12)
-    assert len(search.run(50)) == 2
+    search = packing.LocalSearch([[0], [1, 3], [2, 4, 5]], sizes, 12)
+    assert len(search.run()) == 2
 
 
 # --- sharding ---------------------------------------------------------------
