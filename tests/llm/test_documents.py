@@ -16,7 +16,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillmark.llm import bpe, lattice, licences, packing, pii, sharding, simhash, toxicity
+from quillmark.llm import bpe, lattice, licences, packing, pii, pii_model, sharding, simhash, toxicity
 from quillmark.llm.queries import packed
 
 from .conftest import ODD
@@ -250,7 +250,7 @@ def test_pii_base_spans(spark, odd, empty):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {}
     for r in rows_of(pii.pii_scan(df)):
-        base = ",".join(s for s in r["spans"].split(",") if s and not s.startswith("number"))
+        base = ",".join(s for s in r["spans"].split(",") if s.split(":")[0] in pii.BASE)
         got.setdefault(r["doc_id"], []).append(([r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]], r["base_sha256"], base))
     want = {}
     for doc_id, text in texts:
@@ -259,20 +259,62 @@ def test_pii_base_spans(spark, odd, empty):
     assert pii.pii_scan(odd).count() == len(ODD) and pii.pii_scan(empty).count() == 0
 
 
-def test_pii_method_adds_numbers(spark):
-    df = spark.createDataFrame([(1, "social security number 123-45-6789"), (2, "isbn 978-3-16-148410-9"), (3, "b4f81208897066a6")], "doc_id long, text string")
-    spans = {r["doc_id"]: r["spans"] for r in rows_of(pii.pii_scan(df))}
-    assert spans[1].startswith("number:") and spans[2] == "" and spans[3] == ""
+def generated_texts(seed, count):
+    rng = random.Random(seed)
+    parts = ["1", "55", "4111111111111111", "(", "+", " ", "  ", "-", ".", "@", "a.b", "é", "🙂", "x", " at ", " dot ", " (at) ", "/", ":", "token", "555", "0171", "1234567", "\n", ",", "_", "call "]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(count)]
+
+
+def test_pii_spans_against_the_plain_version(spark):
+    texts = [t for _, t in ODD] + PRIVATE + [line for line, _ in pii_model.training_lines(150, 77, None)] + generated_texts(3, 400)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["spans"] for r in rows_of(pii.pii_scan(df))}
+    for i, text in enumerate(texts):
+        want = sorted(pii_model.plain_spans(text), key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in want), text
+    listed = Counter((r["doc_id"], f"{r['kind']}:{r['start']}:{r['end']}") for r in rows_of(pii.pii_spans(df)))
+    assert listed == Counter((i, x) for i, spans in got.items() for x in spans.split(",") if x)
 
 
-def test_redaction_leaves_no_span_and_clean_texts_alone(spark, odd, empty):
-    df = spark.createDataFrame(list(enumerate(PRIVATE)) + [(99, "clean text, 12 words"), (98, None)], "doc_id long, text string")
-    out = pii.redacted(df)
-    rows = {r["doc_id"]: r["text"] for r in rows_of(out)}
-    assert rows[99] == "clean text, 12 words" and rows[98] is None and "[EMAIL]" in rows[0] and "[CARD]" in rows[2]
-    assert all(r["spans"] == "" for r in rows_of(pii.pii_scan(out)))
+def test_pii_method_adds_spans(spark):
+    lines = {
+        "we keep +1 555 1234567 4111111111111111 here": ["payment 4111111111111111"], "ring 0171 1234567": ["telephone 0171 1234567"],
+        "call 212.555.0187 now": ["telephone 212.555.0187"], "mail anna at example dot com, bob (at) mail.org": ["mail anna at example dot com", "mail bob (at) mail.org"],
+        "ssn 123-45-6789": ["identity 123-45-6789"], 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"': ["secret 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"],
+        "isbn 978-3-16-148410-9": [], "order 555-123-4567": [], "b4f81208897066a6": [], "commit 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde": [], "look at this dot matrix": [],
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in rows_of(pii.pii_scan(df))}
+    for i, (text, want) in enumerate(lines.items()):
+        got = [f"{k} {text[int(a):int(b)]}" for k, a, b in (x.split(":") for x in spans[i].split(",") if x)]
+        assert got == want
+
+
+def test_pii_thresholds_hold_on_lines_of_other_seeds():
+    rows, truth = pii_model.examples(pii_model.training_lines(1_000, 40, 0))
+    for number, (_, (trees, threshold)) in enumerate(pii_model.model().items()):
+        hits = sum(pii_model._predict(t, rows) for t in trees) > threshold
+        assert (truth[hits] == number).mean() > 0.95 and hits[truth == number].mean() > 0.5
+
+
+def test_redaction_replaces_the_spans_and_leaves_clean_texts_alone(spark, odd, empty):
+    texts = PRIVATE + [line for line, _ in pii_model.training_lines(80, 12, None)] + generated_texts(9, 200) + ["clean text, 12 words", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in rows_of(pii.redacted(df))}
+    for i, text in enumerate(texts):
+        out, at, now = "", 0, None
+        for a, b, kind in [*sorted((a, b, k) for k, a, b in pii_model.plain_spans(text)), (math.inf, math.inf, "")]:
+            if now and a < now[1]:
+                now = (now[0], max(b, now[1]), kind if b - a > now[3] else now[2], max(now[3], b - a))
+                continue
+            if now:
+                out, at = out + text[at : now[0]] + f"[{now[2].upper()}]", now[1]
+            now = (a, b, kind, b - a)
+        assert rows[i] == (None if text is None else out + text[at:]), text
+    assert rows[len(texts) - 3] == "clean text, 12 words" and "[EMAIL]" in rows[0] and "[CARD]" in rows[2]
     again = pii.redacted(odd)
     assert again.columns == odd.columns and again.count() == len(ODD) and pii.redacted(empty).count() == 0
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows_of(again.select("text", "n_chars")))
 
 
 # --- SimHash ----------------------------------------------------------------
