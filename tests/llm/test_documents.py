@@ -213,6 +213,61 @@ def test_licences_base_and_method(spark, odd, empty):
     assert licences.licence_scan(empty).count() == 0
 
 
+def test_licences_follow_whole_notices(spark):
+    mit = " ".join(text for label, text in licences.TEMPLATES if label == "mit" and len(text) > 60)
+    lines = {
+        "we keep all rights, all rights here": "", "all rights, all rights": "", "the above copyright notice": "", f"x {mit} y": "mit",
+        "this work is licensed under the GNU General Public License, version 3": "gpl", "Licensed under the GNU Affero General Public License": "agpl,gpl",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", " ".join(reversed(mit.split())): "",
+        mit.replace("Software", "Code", 3).replace("and/or sell", "or even and/or sell"): "mit", "all rights reserved": "reserved",
+        "a copy of this software is hereby granted permission is to any person free of charge": "",
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["labels"] for r in rows_of(licences.licence_scan(df))}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+
+
+def test_licence_verification_against_its_definition(spark):
+    rng = random.Random(5)
+    notices = [t for t in licences.TEMPLATES if 7 < len(t[1].split()) < 45]
+    texts = []
+    for _ in range(120):
+        words = rng.choice(notices)[1].split()
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 2)] = rng.choices(["foo", "bar", "the", "license"], k=rng.randint(0, 2))
+        texts.append(" ".join([*rng.choices(["a", "b"], k=rng.randint(0, 4)), *words, *rng.choice(notices)[1].split()[: rng.randint(0, 9)]]))
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter((r["doc_id"], r["template"] - len(licences.PHRASES), round(r["share"], 9)) for r in rows_of(licences.licence_spans(df).where("not exact")))
+    want = Counter()
+    for n, text in enumerate(texts):
+        words = split(text)
+        for number, (_, notice) in enumerate(licences.TEMPLATES):
+            own = split(notice)
+            lines = {}
+            for i in range(len(words) - 3):
+                for p in range(len(own) - 3):
+                    if words[i : i + 4] == own[p : p + 4]:
+                        lines.setdefault(i - p, []).append(p)
+            groups, last, reach = [], None, None
+            for diagonal in sorted(lines, key=lambda d: (d + min(lines[d]), d)):
+                low, high = diagonal + min(lines[diagonal]), diagonal + max(lines[diagonal])
+                if last is None or abs(diagonal - last) > licences.SLACK or low - reach > len(own):
+                    groups.append([])
+                groups[-1].append(diagonal)
+                last, reach = diagonal, high if reach is None else max(reach, high)
+            for group in groups:
+                first = {p: min(d + p for d in group if p in lines[d]) for p in {p for d in group for p in lines[d]}}
+                seen, held = -1, set()
+                for p in sorted(first):
+                    if first[p] > seen:
+                        held |= set(range(p, p + 4))
+                    seen = max(seen, first[p])
+                want[n, number, round(len(held) / len(own), 9)] += 1
+    assert got == want
+
+
 # --- personal data ----------------------------------------------------------
 
 
