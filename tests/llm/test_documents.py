@@ -442,25 +442,71 @@ def test_units_split_without_losing_a_link(spark):
 # --- language model ---------------------------------------------------------
 
 
-def plain_lattice(model, word):
-    """Sums all segmentations by their definition."""
-    text = lattice.MARK + word
-    sums = [1.0] + [0.0] * len(text)
-    for j in range(1, len(text) + 1):
-        for i in range(j):
-            weight = model.tails.get(text[i:j])
-            if weight is not None:
-                sums[j] += sums[i] * math.exp(weight)
-        if model.tails.get(text[j - 1]) is None:
-            sums[j] += sums[j - 1] * math.exp(model.byte * len(text[j - 1].encode()))
-    return math.log(sums[-1])
+def plain_paths(book, text):
+    """All segmentations of a word: lists of (parameter, its uses), by their definition."""
+    if not text:
+        yield []
+        return
+    for k in range(1, len(text) + 1):
+        number = book.number.get(text[:k])
+        step = (number, 1) if number is not None else (book.byte, len(text[0].encode())) if k == 1 else None
+        if step:
+            for rest in plain_paths(book, text[k:]):
+                yield [step, *rest]
+
+
+def plain_word(book, shares, word, uses=None, count=0):
+    """A word's probability, and into ``uses`` its parameters' expected uses."""
+    if not word:
+        paths = [[(book.end, 1)]]
+    else:
+        paths = list(plain_paths(book, lattice.MARK + word))
+    own = np.array(shares)
+    own[book.byte] /= 256
+    weights = [math.prod(own[i] ** n for i, n in path) for path in paths]
+    for path, weight in zip(paths, weights) if uses is not None else ():
+        for i, n in path:
+            uses[i] += count * n * weight / sum(weights)
+    return sum(weights)
 
 
 def test_lattice_sums_all_segmentations():
-    model = lattice.lattice(P.path("piece_bpe_32k.model"))
-    for word in ("the", "anblewh", "überfluß", "🙂x", "a"):
-        assert math.isclose(model.word(word.encode()), plain_lattice(model, word), rel_tol=1e-9)
-    assert model.word(b"x" * 5000) < -100
+    book = lattice.vocabulary(P.path("piece_bpe_32k.model"))
+    words = ["the", "anblewh", "überfluß", "🙂x", "a", "", "internatio", "\x00b", "ﬁ"]
+    model = lattice.Lattice(book, book.prior)
+    counts = np.arange(1.0, len(words) + 1)
+    expected, want = np.zeros(book.size), np.zeros(book.size)
+    got = model.words([w.encode() for w in words], counts, expected)
+    for i, word in enumerate(words):
+        assert math.isclose(got[i], math.log(plain_word(book, book.prior, word, want, counts[i])), rel_tol=1e-9)
+    assert np.allclose(expected, want, rtol=1e-9, atol=1e-12)
+    assert math.isclose(lattice.shares_of(expected, book.prior, 10.0).sum(), 1)
+    assert math.isclose(sum(book.prior), 1) and model.words([b"x" * 5000])[0] < -100
+    for text in ("überfluß" * 3, "a🙂" * 8, "xyxxy" * 400):
+        alone, batch = np.zeros(book.size), np.zeros(book.size)
+        one, two = model._alone(lattice.MARK + text, 2.0, alone), model.words([text.encode()], np.array([2.0]), batch)[0]
+        assert math.isclose(one, two, rel_tol=1e-9) and math.isclose(model._alone(lattice.MARK + text, 0, None), one, rel_tol=1e-12)
+        assert np.allclose(alone, batch, rtol=1e-7)
+
+
+def test_scores_are_the_marginals_after_two_rounds(spark):
+    path = P.path("piece_bpe_32k.model")
+    book = lattice.vocabulary(path)
+    texts = [(i, t) for i, t in enumerate(["the cat sat", "The mat, the hat", "", "über cat", "zzq the", "a hat the", "cat cat cat", "mat a", "sat on the mat"])]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)) + [""]
+    counts = Counter(w for d, t in texts if not held(d) for w in split(t))
+    shares = book.prior
+    for _ in range(2):
+        uses = np.zeros(book.size)
+        for word, n in counts.items():
+            plain_word(book, shares, word, uses, n)
+        shares = (uses + 1_000 * book.prior) / (uses.sum() + 1_000)
+    want = {d: sum(math.log10(plain_word(book, shares, w)) for w in split(t)) for d, t in texts}
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for share in (1 << 20, 3):
+        got = {r["doc_id"]: r["score"] for r in rows_of(lattice.lattice_scores(df, path, share))}
+        assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
 
 
 def test_language_model_on_odd_rows(odd, empty):
