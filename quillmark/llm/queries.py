@@ -21,8 +21,7 @@ from .vectors import near_vectors
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted")
+    return toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,15 +12,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut, ship
 
 #: Labelled rows that training reads at most, chosen by hash of the id.
 SAMPLE_ROWS = 40_000
-#: A token needs this many training documents of label 1, and this many standard errors, to get a score of its own.
-LEAST_DOCS, LEAST_Z = 4, 3.0
+#: A word of fewer training documents has the score of an unseen one.
+LEAST_DOCS = 2
+#: Standard errors that a word's excess over clean texts is lowered by.
+SHRINK = 4.0
+#: Counts that every word has in clean text beforehand.
+SMOOTH = 1.0
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 1 << 16
-EULER = 0.5772156649015329
 
 
 @dataclass
@@ -45,28 +47,28 @@ class Model:
     slope: float = 1.0
     shift: float = -3.0
 
-    def scan(self, text: str) -> tuple[int, list[tuple[int, float]]]:
-        """The number of words, and (place, weight) of those with a weight of their own."""
-        found: list[tuple[int, float]] = []
-        weights, n, pos = self.weights, 0, 0
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """The number of words, and the maximal segments of their scores.
+
+        Text is read in blocks; only words that score above zero can open a
+        segment, and the sums between them come from one running total.
+        """
+        segments = Segments()
+        get, default, n, pos = self.weights.get, self.default, 0, 0
         while pos < len(text):
             stop = min(len(text), pos + BLOCK)
             while stop < len(text) and text[stop].isalpha():
                 stop += 1
             block = WORD.findall(text[pos:stop].lower())
-            if not weights.keys().isdisjoint(block):
-                found += [(n + i, weights[word]) for i, word in enumerate(block) if word in weights]
+            if block:
+                segments.add(np.array([get(word, default) for word in block]))
             n += len(block)
             pos = stop
-        return n, found
+        return n, segments.found()
 
-    def passages(self, n: int, found: list[tuple[int, float]]) -> list[Passage]:
-        """All maximal scoring segments with their E-values, in one pass."""
-        out = []
-        for start, end, score in maximal_segments(n, found, self.default):
-            log_expect = self.log_k + math.log(max(n, 1)) - self.rate * score
-            out.append(Passage(start, end, score, log_expect))
-        return out
+    def passages(self, n: int, segments: list[tuple[int, int, float]]) -> list[Passage]:
+        """The maximal scoring segments with their E-values."""
+        return [Passage(a, b, s, self.log_k + math.log(max(n, 1)) - self.rate * s) for a, b, s in segments]
 
     def evidence(self, n: int, passages: list[Passage]) -> float:
         """Summed -log E of the passages below 1; minus log E of the best, if none is."""
@@ -79,52 +81,78 @@ class Model:
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.shift))))
 
+    def judged(self, text: str) -> tuple[float, list[Passage]]:
+        """A text's score and its passages."""
+        n, segments = self.scan(text)
+        passages = self.passages(n, segments)
+        return self.score(self.evidence(n, passages)), passages
+
 
-def maximal_segments(n: int, found: list[tuple[int, float]], default: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of a sequence of ``n`` scores, in linear time.
+class Segments:
+    """All maximal scoring segments of a sequence of scores, in linear time, scores given part by part.
 
-    ``found`` are the places with a score of their own; the others score
-    ``default`` (negative), so only places above zero can open a segment. The
-    list of candidates keeps each one's left and right cumulative sums; a new
-    candidate absorbs earlier ones back to the nearest that started lower, if
-    that one's right sum is below its own.
+    The list of candidates keeps each one's left and right cumulative sums; a
+    new candidate absorbs earlier ones back to the nearest that started lower,
+    if that one's right sum is below its own.
     """
-    # start, end, left sum, right sum, nearest earlier candidate with a lower left sum
-    stack: list[tuple[int, int, float, float, int]] = []
-    total, last = 0.0, 0
-    for place, weight in found:
-        total += default * (place - last)
-        last = place + 1
-        left, total = total, total + weight
-        if weight <= 0:
-            continue
-        start, right = place, total
-        while True:
-            at = len(stack) - 1
-            while at >= 0 and stack[at][2] >= left:
-                at = stack[at][4]
-            if at < 0 or stack[at][3] >= right:
-                stack.append((start, place + 1, left, right, at))
-                break
-            start, left = stack[at][0], stack[at][2]
-            del stack[at:]
-    return [(a, b, right - left) for a, b, left, right, _ in stack]
-
-
-def log_odds(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, prior: float) -> dict[str, tuple[float, float]]:
-    """word -> (log-odds of label 1 against 0, standard error), with a Dirichlet prior.
-
-    Each word's prior is half a count in either class and its share of ``prior``
-    pseudo-counts, spread as the words occur in both classes together.
+
+    def __init__(self) -> None:
+        # start, end, left sum, right sum, nearest earlier candidate with a lower left sum
+        self.stack: list[tuple[int, int, float, float, int]] = []
+        self.total, self.n = 0.0, 0
+
+    def add(self, scores: np.ndarray) -> None:
+        sums = np.cumsum(scores) + self.total
+        stack = self.stack
+        places = np.flatnonzero(scores > 0)
+        rights = sums[places]
+        for place, left, right in zip((places + self.n).tolist(), (rights - scores[places]).tolist(), rights.tolist()):
+            start = place
+            while True:
+                at = len(stack) - 1
+                while at >= 0 and stack[at][2] >= left:
+                    at = stack[at][4]
+                if at < 0 or stack[at][3] >= right:
+                    stack.append((start, place + 1, left, right, at))
+                    break
+                start, left = stack[at][0], stack[at][2]
+                del stack[at:]
+        self.n += len(scores)
+        self.total = float(sums[-1]) if len(sums) else self.total
+
+    def found(self) -> list[tuple[int, int, float]]:
+        return [(a, b, right - left) for a, b, left, right, _ in self.stack]
+
+
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score) of a sequence of scores."""
+    segments = Segments()
+    if len(scores):
+        segments.add(np.asarray(scores, dtype=float))
+    return segments.found()
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, share: float = 1.0) -> tuple[np.ndarray, float, np.ndarray]:
+    """Each word's log-odds of a toxic passage against clean text, an unseen word's, and the words' shares of clean text.
+
+    ``toxic`` and ``clean`` count a word's training documents of either label,
+    of ``n_toxic`` and ``n_clean`` words altogether. A toxic document is mostly
+    made of the words of any other, so a passage's words are what toxic ones
+    have in excess of clean ones, lowered by SHRINK standard errors. Both sides
+    have a Dirichlet prior: for passages pseudo-counts of ``share`` times the
+    excess, spread as words occur in documents of both labels alike, for clean
+    text SMOOTH counts a word. An unseen word has the prior alone: the log of
+    share / (1 + share), which is negative, and so is the mean over clean text.
     """
-    out = {}
-    whole = n_toxic + n_clean
-    for word, t in toxic.items():
-        c = clean.get(word, 0)
-        a = 0.5 + prior * (t + c) / whole
-        odds = math.log((t + a) / (n_toxic + prior - t - a)) - math.log((c + a) / (n_clean + prior - c - a))
-        out[word] = (odds, math.sqrt(1 / (t + a) + 1 / (c + a)))
-    return out
+    ratio = n_toxic / max(n_clean, 1.0)
+    excess = np.maximum(0.0, toxic - clean * ratio - SHRINK * np.sqrt(toxic + clean * ratio**2))
+    unseen = math.log(share / (1 + share))
+    if not excess.any():
+        return np.full(len(toxic), unseen), unseen, clean / max(n_clean, 1.0)
+    spread = (toxic / n_toxic + clean / max(n_clean, 1.0)) / 2
+    passage = (excess / excess.sum() + share * spread) / (1 + share)
+    usual = (clean + SMOOTH) / (n_clean + SMOOTH * len(clean))
+    return np.log(passage / usual), unseen, usual
 
 
 def karlin_rate(shares: list[tuple[float, float]]) -> float:
@@ -163,36 +191,26 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(text) % 5 == 0
 
 
-def _sketch(text: str, size: int = 8) -> int:
-    """The ``size`` smallest word hashes together: near copies mostly agree on it."""
-    low = sorted({zlib.crc32(w.encode()) for w in WORD.findall(text.lower())})[:size]
-    return zlib.crc32(repr(low).encode()) << 31 | (low[0] >> 1 if low else 0)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, prior: float = 50.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, share: float = 1.0) -> Model:
     """A model from at most ``sample_rows`` labelled rows outside the held-out fold.
 
     The rows are those of smallest id hash; a doc_id with both labels counts as
-    toxic; rows without id or label are left out. Copies and near copies among
-    them count once. The ids are broadcast, so no text is shuffled. Without
-    toxic training rows the model scores every text low.
+    toxic; rows without id or label are left out. Texts that are equal count
+    once a label. ``docs`` is read once: ids are broadcast, and the sampled rows
+    are written to the checkpoint folder. Four fifths of them, by text hash,
+    give the words' scores; the rest, which no count has seen, calibrate. Null
+    texts are left out, empty ones count; other columns, whatever their names,
+    are not read. Without toxic training rows every text scores low.
     """
-    ship(docs.sparkSession)
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    ids = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    spark = docs.sparkSession
+    ship(spark)
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    usable = marks.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    ids = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-
-    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "key": [_sketch(t) for t in batch["text"]]})
-
-    known = texts.join(F.broadcast(ids), "doc_id").mapInPandas(sketches, "doc_id long, toxic int, key long").toPandas()
-    once = known.sort_values("doc_id").drop_duplicates(["key", "toxic"])
-    if not len(once) or not (once["toxic"] == 1).any():
-        return Model()
-    chosen = docs.sparkSession.createDataFrame(once[["doc_id", "toxic"]].drop_duplicates("doc_id"), "doc_id long, toxic int")
-    train = texts.join(F.broadcast(chosen), "doc_id")
+    once = texts.join(F.broadcast(ids), "doc_id").groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text"))
+    train = cut(once.withColumn("checks", F.pmod(F.xxhash64("h"), F.lit(5)) == 0))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,36 +218,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, prio
             flat = [w for s in sets for w in s]
             yield pd.DataFrame({"word": flat, "toxic": np.repeat(batch["toxic"].to_numpy(), [len(s) for s in sets])})
 
-    counted = train.mapInPandas(words, "word string, toxic int").groupBy("word").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
+    sides = {(r["toxic"], r["checks"]) for r in train.select("toxic", "checks").distinct().collect()}
+    if not any(toxic for toxic, _ in sides):
+        return Model()
+    apart = {(1, False), (1, True), (0, False), (0, True)} <= sides
+    learnt, kept_back = (train.where("not checks"), train.where("checks")) if apart else (train, train)
+    counted = learnt.mapInPandas(words, "word string, toxic int").groupBy("word").agg(
+        F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c")
     )
-    n_toxic, n_clean = counted.agg(F.sum("t"), F.sum("c")).first()
-    table = counted.where(F.col("t") >= LEAST_DOCS).collect()
-    odds = log_odds({r["word"]: r["t"] for r in table}, {r["word"]: r["c"] for r in table}, n_toxic, n_clean, prior)
-    model = Model({w: o - se for w, (o, se) in odds.items() if o > LEAST_Z * se and o > 1.5})
-    clean = {r["word"]: r["c"] for r in table}
-    shares = [((clean[w] + 0.05) / (n_clean + 1), s) for w, s in model.weights.items()]
-    shares.append((1 - sum(p for p, _ in shares), model.default))
-    model.rate = karlin_rate(shares)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counted = cut(counted)
+    n_toxic, n_clean = (float(x or 0) for x in counted.agg(F.sum("t"), F.sum("c")).first())
+    table = counted.where(F.col("t") + F.col("c") >= LEAST_DOCS).orderBy("word").toPandas()
+    toxic, clean = table["t"].to_numpy(float), table["c"].to_numpy(float)
+    scores, default, usual = log_odds(toxic, clean, n_toxic, n_clean, share)
+    model = Model(dict(zip(table["word"], scores.tolist())), default)
+    shares = list(zip(usual.tolist(), scores.tolist()))
+    model.rate = karlin_rate([*shares, (max(0.0, 1 - float(usual.sum())), default)])
+    sent = spark.sparkContext.broadcast(model)
+
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent.value
         for batch in batches:
-            scans = [model.scan(t) for t in batch["text"]]
-            tops = [max((s for _, _, s in maximal_segments(n, found, model.default)), default=0.0) for n, found in scans]
-            yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for n, _ in scans], "top": tops})
-
-    tops = train.mapInPandas(best, "toxic int, n long, top double").toPandas()
-    extreme = tops[(tops["toxic"] == 0) & (tops["top"] > 0)]
-    if len(extreme):
-        model.log_k = min(0.0, float((model.rate * extreme["top"] - np.log(extreme["n"])).mean()) - EULER)
-
-    def evidences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scans = [model.scan(t) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "x": [model.evidence(n, model.passages(n, f)) for n, f in scans]})
-
-    pairs = train.mapInPandas(evidences, "toxic int, x double").toPandas()
-    model.slope, model.shift = logistic(pairs["x"].to_numpy(), pairs["toxic"].to_numpy().astype(float))
+            scans = [own.scan(t) for t in batch["text"]]
+            found = [sorted((s for _, _, s in segments), reverse=True) for _, segments in scans]
+            yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for n, _ in scans], "tops": found})
+
+    seen = kept_back.mapInPandas(tops, "toxic int, n long, tops array<double>").toPandas()
+    of_clean = seen[seen["toxic"] == 0]
+    # Of n clean words, K n e^(-rate s) maximal segments score s or more, K n score above zero.
+    if len(of_clean):
+        model.log_k = min(0.0, math.log((int(of_clean["tops"].map(len).sum()) + 1) / (int(of_clean["n"].sum()) + 1)))
+    evidence = [model.evidence(n, model.passages(n, [(0, 0, s) for s in t])) for n, t in zip(seen["n"], seen["tops"])]
+    model.slope, model.shift = logistic(np.array(evidence), seen["toxic"].to_numpy().astype(float))
+    sent.destroy()
     return model
 
 
@@ -240,22 +261,22 @@ def score_documents(docs: DataFrame, model: Model, level: float = 0.05) -> DataF
     """Every whole text's score, and its passages with an E-value below ``level``.
 
     Words are runs of letters, lower-cased; a passage is a range of word places.
-    No shuffle, and the model is a few words. Null and empty texts have no
-    words and the lowest evidence of their length. Repeated rows are kept; other
-    columns are not read. A null doc_id counts as the empty string for the fold.
+    No shuffle; the model, whose words a bounded sample limits, is broadcast.
+    Null and empty texts have no words and the lowest evidence of their length;
+    very long texts are read in blocks. Of passages of equal score the first
+    comes first. Repeated rows are kept; other columns are not read. A null
+    doc_id counts as the empty string for the fold. An empty table gives an
+    empty result. Returns doc_id, held_out, score, predicted, passages.
     """
     ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent.value
         for batch in batches:
-            scores, spans = [], []
-            for text in batch["text"]:
-                n, found = model.scan(text or "")
-                passages = model.passages(n, found)
-                scores.append(model.score(model.evidence(n, passages)))
-                kept = [p for p in passages if p.log_expect < math.log(level)]
-                spans.append([(p.start, p.end, p.score, math.exp(p.log_expect)) for p in kept])
-            spans = [[dict(zip(("start", "end", "score", "expect"), s)) for s in row] for row in spans]
+            judged = [own.judged(t or "") for t in batch["text"]]
+            spans = [[{"start": p.start, "end": p.end, "score": p.score, "expect": math.exp(p.log_expect)} for p in found if p.log_expect < math.log(level)] for _, found in judged]
+            scores = [score for score, _ in judged]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].array, "held_out": batch["held_out"], "score": scores,
                 "predicted": [int(s >= 0.5) for s in scores], "passages": spans,
@@ -274,13 +295,16 @@ def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text scores below 0.5, with their columns as they are.
 
-    Null and empty texts stay unless the model calls such texts toxic.
+    Null and empty texts stay unless the model calls such texts toxic; very long
+    texts are read whole, in blocks; repeated rows are judged alike; clashing
+    column names do no harm; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        scans = (model.scan(t or "") for t in texts)
-        return pd.Series([model.score(model.evidence(n, model.passages(n, found))) for n, found in scans], dtype=float)
+        own = sent.value
+        return pd.Series([own.judged(t or "")[0] for t in texts], dtype=float)
 
     return docs.where(score(F.col("text")) < 0.5)

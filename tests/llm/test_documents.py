@@ -550,10 +550,73 @@ def test_maximal_segments():
     rng = random.Random(6)
     for _ in range(300):
         n = rng.randint(0, 40)
-        found = [(i, rng.choice([1.5, 2.25, 4.0, -1.0])) for i in range(n) if rng.random() < 0.4]
-        scores = [dict(found).get(i, -0.5) for i in range(n)]
-        got = toxicity.maximal_segments(n, found, -0.5)
-        assert [(a, b, round(s, 6)) for a, b, s in got] == [(a, b, round(s, 6)) for a, b, s in plain_segments(scores)]
+        scores = np.array([rng.choice([1.5, 2.25, 4.0, -1.0]) if rng.random() < 0.4 else -0.5 for _ in range(n)])
+        got = [(a, b, round(s, 6)) for a, b, s in toxicity.maximal_segments(scores)]
+        assert got == [(a, b, round(s, 6)) for a, b, s in plain_segments(scores.tolist())]
+        parts = toxicity.Segments()
+        for at in range(0, n, 7):
+            parts.add(scores[at : at + 7])
+        assert [(a, b, round(s, 6)) for a, b, s in parts.found()] == got
+
+
+def plain_toxicity(rows, labels):
+    """The score of every row by the method's definition: counts, log-odds, calibration, segments."""
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 0
+    toxic = {}
+    for d, label in labels:
+        if d is not None and label in (0, 1) and not held(d):
+            toxic[d] = max(label, toxic.get(d, 0))
+    train = sorted({(t, toxic[d]) for d, t in rows if d in toxic and t is not None})
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    hashed = lambda t: xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(t.encode(), 42).to_bytes(8, "little"), 42)
+    checks = [(t, y) for t, y in train if (h - (1 << 64) if (h := hashed(t)) >> 63 else h) % 5 == 0]
+    learnt = [x for x in train if x not in checks]
+    counts = [Counter(w for t, y in learnt if y == label for w in set(split(t))) for label in (0, 1)]
+    n_clean, n_toxic = (float(sum(c.values())) for c in counts)
+    words = sorted(w for w in counts[0] | counts[1] if counts[0][w] + counts[1][w] >= 2)
+    ratio = n_toxic / n_clean
+    excess = {w: max(0.0, counts[1][w] - counts[0][w] * ratio - 4 * math.sqrt(counts[1][w] + counts[0][w] * ratio**2)) for w in words}
+    whole = sum(excess.values())
+    assert whole > 0
+    passage = {w: (excess[w] / whole + (counts[1][w] / n_toxic + counts[0][w] / n_clean) / 2) / 2 for w in words}
+    usual = {w: (counts[0][w] + 1) / (n_clean + len(words)) for w in words}
+    score = {w: math.log(passage[w] / usual[w]) for w in words}
+    low, high = 1e-9, 64.0
+    rest = 1 - sum(usual.values())
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(p * math.exp(mid * score[w]) for w, p in usual.items()) + rest * 0.5**mid < 1 else (low, mid)
+    found = lambda t: (len(split(t)), [s for _, _, s in plain_segments([score.get(w, -math.log(2)) for w in split(t)])])
+    clean = [found(t) for t, y in checks if not y]
+    log_k = min(0.0, math.log((sum(len(s) for _, s in clean) + 1) / (sum(n for n, _ in clean) + 1)))
+
+    def evidence(t):
+        n, segments = found(t)
+        logs = [high * s - log_k - math.log(max(n, 1)) for s in segments]
+        strong = [x for x in logs if x > 0]
+        return sum(strong) if strong else min(0.0, max(logs, default=-log_k - math.log(max(n, 1))))
+
+    x, y = np.array([evidence(t) for t, _ in checks]), np.array([float(label) for _, label in checks])
+    slope, shift = toxicity.logistic(x, y)
+    return {d: 1 / (1 + math.exp(-(slope * evidence(t or "") + shift))) for d, t in rows}, {d: found(t or "") for d, t in rows}
+
+
+def test_toxicity_scores_by_definition(spark):
+    rng = random.Random(9)
+    plain = [a + b for a in ["tree", "house", "river", "stone", "cloud"] for b in ["", "s", "ly", "er", "ing", "en"]]
+    rows, labels = [], []
+    for i in range(500):
+        words = [rng.choice(plain) for _ in range(rng.randint(3, 40))] + [f"rare{i % 90}x"]
+        for _ in range(rng.randint(1, 4) if i % 5 == 0 else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["grumblefoot", "snotface", "Dungwit"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    want, segments = plain_toxicity(rows, labels)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in rows_of(toxicity.toxic_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int")))}
+    assert got.keys() == want.keys() and all(math.isclose(got[d]["score"], want[d], rel_tol=1e-6, abs_tol=1e-9) for d in want)
+    assert all(r["predicted"] == int(want[d] >= 0.5) and len(r["passages"]) <= len(segments[d][1]) for d, r in got.items())
+    assert any(r["passages"] for r in got.values()) and all(p["end"] > p["start"] for r in got.values() for p in r["passages"])
 
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -582,5 +645,8 @@ def test_toxicity_on_odd_rows(spark, odd, empty, labels):
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
     assert toxicity.toxic_documents(empty, labels).count() == 0
     assert toxicity.toxic_documents(odd, labels.limit(0)).count() == len(ODD)
+    clashing = labels.selectExpr("*", "'x' as h", "'x' as checks", "'x' as text", "'x' as word", "'x' as t", "'x' as c")
+    again = rows_of(toxicity.toxic_documents(odd.selectExpr("*", "'x' as h", "'x' as checks", "'x' as toxic"), clashing))
+    assert bag((r["doc_id"], r["score"]) for r in again) == bag((r["doc_id"], r["score"]) for r in rows)
     kept = toxicity.without_toxic(odd, toxicity.Model())
     assert kept.columns == odd.columns and kept.count() == len(ODD)
