@@ -34,21 +34,32 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)``; root is the smallest node reachable.
 
     Alternates the two star steps until the links stop changing, which takes a
-    number of rounds logarithmic in practice; each round ends in the checkpoint
-    folder, and no link reaches the driver. A hub's links are dealt by AQE's
-    skew join; minima are taken before the shuffle. Links with a null end or to
+    number of rounds logarithmic in practice; each step ends in the checkpoint
+    folder, and no link reaches the driver. Minima are taken before the shuffle,
+    and the links of hubs aren't shuffled to meet them. Links with a null end or to
     oneself are ignored.
     """
+    def least_of(links: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+        """Each u's least neighbour: of hubs, a thousand at most since each has a thousandth of the links, and of all others."""
+        least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        hub = F.col("n") * 1_000 > count
+        return least.where(hub).select("u", "m"), least.where(~hub).select("u", "m")
+
+    def with_least(links: DataFrame, count: int) -> DataFrame:
+        """``links`` with m; a hub's links stay where they are, its least neighbour is sent to them."""
+        hubs, others = least_of(links, count)
+        marked = links.join(F.broadcast(hubs.withColumnRenamed("m", "hub")), "u", "left")
+        near = marked.where("hub is not null").withColumnRenamed("hub", "m")
+        return near.unionByName(marked.where("hub is null").drop("hub").join(others, "u"))
+
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("u") != F.col("v")).alias("ok"))
     edges = cut(edges.where("ok").select("u", "v").distinct())
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(edges.groupBy("u").agg(F.min("v").alias("v"))).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        large = with_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.unionByName(edges.groupBy("u").agg(F.min("v").alias("v"))).where("u != v").distinct())
+        small = with_least(large, large.count()).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut(small.where("u != v").distinct())
         new = _mark(edges)
         if new == mark:

@@ -236,18 +236,40 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return kept_rows(docs, found.select("doc_id", group.alias("group"), "text_hash"))
 
 
-def kept_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """``docs`` cut to one row of each group of ``grouped`` (doc_id, group, text_hash), as :func:`one_of_each` says."""
+#: Keys of rows that go, up to which they are broadcast (some 60 bytes each) and the texts stay where they are.
+BROADCAST_ROWS = 1_000_000
+
+
+def kept_rows(docs: DataFrame, grouped: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` cut to one row of each group of ``grouped`` (doc_id, group, text_hash), as :func:`one_of_each` says.
+
+    Rows are known by doc_id and text hash. Those that go are the smaller side:
+    up to ``broadcast_rows`` of them, counted first, are broadcast, so no text
+    is shuffled; beyond, texts meet the rows that stay in a semi join. Rows
+    equal in both are told apart only where there are any.
+    """
     key, digest, other, same, nth = fresh(docs, "_key", "_sum", "_id", "_hash", "_n")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    keep = grouped.groupBy("group").agg(best).select(
-        name(F.col("best.doc_id")).alias(other), F.col("best.text_hash").alias(same)
-    ).distinct()
+    grouped = cut(grouped)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
+    keep = grouped.groupBy("group").agg(best).select(name(F.col("best.doc_id")).alias(other), F.col("best.text_hash").alias(same)).distinct()
+    known = grouped.groupBy(name(F.col("doc_id")).alias(other), F.col("text_hash").alias(same)).agg(F.count("*").alias("n"))
+    known = cut(known.join(keep.withColumn("stays", F.lit(True)), [other, same], "left"))
+    repeats = known.where("stays and n > 1").select(other, same)
+    going = known.where("stays is null").select(other, same)
     rows = docs.withColumns({key: name(F.col("doc_id").cast("long")), digest: F.xxhash64("text")})
-    rows = rows.join(keep, (F.col(key) == F.col(other)) & (F.col(digest) == F.col(same)), "left_semi")
+    on = (F.col(key) == F.col(other)) & (F.col(digest) == F.col(same))
+    n_going, n_repeats = going.count(), repeats.count()
+    if n_going + n_repeats > broadcast_rows:
+        rows = rows.join(known.where("stays").select(other, same), on, "left_semi")
+        copies = Window.partitionBy(key, digest).orderBy(key)
+        return rows.withColumn(nth, F.row_number().over(copies)).where(F.col(nth) == 1).select(docs.columns)
+    once = rows.join(F.broadcast(going.unionByName(repeats)), on, "left_anti").select(docs.columns)
+    if not n_repeats:
+        return once
     copies = Window.partitionBy(key, digest).orderBy(key)
-    return rows.withColumn(nth, F.row_number().over(copies)).where(F.col(nth) == 1).select(docs.columns)
+    several = rows.join(F.broadcast(repeats), on, "left_semi").withColumn(nth, F.row_number().over(copies))
+    return once.unionByName(several.where(F.col(nth) == 1).select(docs.columns))
 
 
 def _forest(rows: pd.DataFrame, limit: int) -> pd.DataFrame:

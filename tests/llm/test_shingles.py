@@ -5,6 +5,7 @@ import random
 import corpus_pipeline as C
 
 from quillmark.llm import shingles, simhash
+from quillmark.llm.components import connected
 
 
 def plain_similar(a, b):
@@ -44,3 +45,29 @@ def test_near_duplicates_follow_similarity(spark, empty):
 def test_rows_of_one_id_and_different_texts_stay(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (1, "seven eight nine ten"), (None, "x y z"), (1, "seven eight nine ten")], "doc_id long, text string")
     assert sorted(r["text"] for r in shingles.one_of_near_copies(docs).collect()) == ["one two three four five six", "seven eight nine ten", "x y z"]
+
+
+def test_both_ways_of_dropping_rows_agree(spark, odd):
+    grouped = shingles.near_copy_groups(odd)
+    one, two = (simhash.kept_rows(odd, grouped, most) for most in (1_000_000, 0))
+    assert one.columns == two.columns == odd.columns
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_components_with_hubs(spark):
+    rng = random.Random(4)
+    links = [(0, rng.randint(1, 400)) for _ in range(300)] + [(401, rng.randint(402, 600)) for _ in range(200)] + [(rng.randint(0, 900), rng.randint(0, 900)) for _ in range(120)]
+    links += [(n, n + 1) for n in range(1000, 1060)] + [(5, 5), (7, None)]
+    root = {n: n for pair in links for n in pair if n is not None}
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in links:
+            if b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "u long, v long").repartition(3)).collect()}
+    linked = {n for a, b in links if b is not None and a != b for n in (a, b)}
+    assert got == {n: root[n] for n in linked}
