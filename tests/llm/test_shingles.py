@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import corpus_pipeline as C
 
 from quillmark.llm import shingles, simhash
@@ -47,6 +48,50 @@ def test_rows_of_one_id_and_different_texts_stay(spark):
     assert sorted(r["text"] for r in shingles.one_of_near_copies(docs).collect()) == ["one two three four five six", "seven eight nine ten", "x y z"]
 
 
+def test_parities_bound_the_difference():
+    rng = random.Random(7)
+    for _ in range(200):
+        one = {rng.randrange(1 << 64) for _ in range(rng.randint(0, 300))}
+        two = {x for x in one if rng.random() < 0.8} | {rng.randrange(1 << 64) for _ in range(rng.randint(0, 60))}
+        bits = [shingles.parities(np.array(sorted(s), dtype=np.uint64)) for s in (one, two)]
+        assert sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(*bits)) <= len(one ^ two)
+
+
+def test_families_of_near_copies_are_grouped_as_by_all_pairs(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{n}" for n in range(400)]
+    texts = []
+    for family in range(3):
+        base = rng.choices(vocabulary, k=rng.randint(60, 140))
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 2)] = rng.choices(vocabulary, k=rng.randint(0, 2))
+            texts.append(" ".join(words))
+    cuts = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(cuts[i] & cuts[j]) >= 4 * len(cuts[i] | cuts[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {}
+    for r in shingles.near_copy_groups(docs).collect():
+        got.setdefault(r["group"], set()).add(r["doc_id"])
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(find(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 3 < len(want) < len(texts)
+
+
 def test_both_ways_of_dropping_rows_agree(spark, odd):
     grouped = shingles.near_copy_groups(odd)
     one, two = (simhash.kept_rows(odd, grouped, most) for most in (1_000_000, 0))
