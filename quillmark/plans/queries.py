@@ -521,3 +521,6 @@ def review_status_map(spark, sf_dir):
 
 FLAGSHIP = "email_selection"
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "POSTINGS", "QUERIES"]
+
+
+from . import field_queries  # noqa: E402, F401
