@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from .stage import settled
 from .text import normalized
 from .urls import contains_any, first_contained, let, path, query_value
 
@@ -16,7 +17,7 @@ def matches(text: Column, patterns: list[str]) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
 def mentions_internship(title: Column, url: Column) -> Column:
@@ -33,19 +34,22 @@ def is_search_page(title: Column, url: Column) -> Column:
 
 def has_job_url(url: Column) -> Column:
     """Rules on a lower-case address; the first that applies decides."""
-    number = F.trim(F.coalesce(query_value(url, "id"), query_value(url, "jobid"), F.lit("")))
-    way = F.regexp_replace(path(url), "/+$", "")
-    slashes = F.length(way) - F.length(F.replace(way, F.lit("/"), F.lit("")))
-    facts = F.struct(url.alias("url"), way.alias("way"), slashes.alias("slashes"), number.rlike("^[0-9]+$").alias("numbered"))
-    return let(facts, lambda f: job_rule(f["url"], f["way"], f["slashes"], f["numbered"]))
+    return let(last_path(url), lambda way: let(F.struct(way.alias("way"), url.alias("url")), lambda f: job_rule(f["url"], f["way"])))
+
+
+def last_path(url: Column) -> Column:
+    return F.regexp_replace(path(url), "/+$", "")
 
 
-def job_rule(url: Column, way: Column, slashes: Column, numbered: Column) -> Column:
+def job_rule(url: Column, way: Column) -> Column:
+    """Of a lower-case address and its path without last slashes."""
     has = url.contains
+    slashes = F.length(way) - F.length(F.replace(way, F.lit("/"), F.lit("")))
+    numbered = F.trim(F.coalesce(query_value(url, "id"), query_value(url, "jobid"), F.lit(""))).rlike("^[0-9]+$")
     yes, no = F.lit(True), F.lit(False)
     return (
         F.when(contains_any(url, [*L.BLOG_URL_FRAGMENTS, "linkedin.com/jobs/search", "indeed.com/jobs?", "indeed.com/q-"]), no)
-        .when(way.endswith("/jobs") & numbered, yes)
+        .when(F.when(way.endswith("/jobs"), numbered).otherwise(no), yes)
         .when(~contains_any(url, L.SPECIFIC_URL_FRAGMENTS), no)
         .when(has("/job/") & (slashes >= 3), yes)
         .when(has("/job-detail/") & (slashes >= 4), yes)
@@ -81,38 +85,37 @@ def is_program_detail(title: Column, url: Column) -> Column:
     return way.rlike(r"/internships?-programs/[^/]+$") & has_role_title(title)
 
 
-def _facts(name: Column, link: Column) -> Column:
-    """What the rules ask about a normalised title and address, each worked out once."""
-    guarded = F.filter(F.array(*map(F.lit, L.GENERIC_TITLE_FRAGMENTS)), lambda f: F.contains(name, f) & (
-        (f != "search intern") | name.startswith("search intern") | name.startswith("search for intern")
-    ))
-    return F.struct(
-        name.alias("title"), link.alias("url"), has_job_url(link).alias("job"), has_role_title(name).alias("role"),
-        F.try_element_at(guarded, F.lit(1)).alias("fragment"), first_contained(link, L.GENERIC_URL_FRAGMENTS).alias("place"),
-        F.regexp_replace(F.lower(path(link)), "/+$", "").rlike(r"/internships?-programs/[^/]+$").alias("program"),
-    )
+def _fragment(name: Column) -> Column:
+    """The first fragment of general titles that a title holds; a search for internships must open it."""
+    opens = name.startswith("search intern") | name.startswith("search for intern")
+    found = None
+    for f in L.GENERIC_TITLE_FRAGMENTS:
+        holds = name.contains(f) & opens if f == "search intern" else name.contains(f)
+        found = F.when(holds, F.lit(f)) if found is None else found.when(holds, F.lit(f))
+    return found
+
 
+def _facts(name: Column, link: Column, way: Column) -> dict[str, Column]:
+    """What the rules ask about a normalised title, an address and its path."""
+    return {
+        "job": job_rule(link, way), "role": has_role_title(name), "fragment": _fragment(name), "place": first_contained(link, L.GENERIC_URL_FRAGMENTS),
+        "program": way.rlike(r"/internships?-programs/[^/]+$"), "words": word_count(name),
+    }
 
-def _general(f: Column) -> Column:
+
+def _general(title: Column, f: dict[str, Column]) -> Column:
     """Why a page is a general one, or null; rules in order of precedence."""
     quoted = lambda text, value: F.concat(F.lit(f"{text} ('"), value, F.lit("')."))
-    title = f["title"]
     return (
         F.when(title.isin(L.GENERIC_EXACT_TITLES), F.concat(F.lit("Title matches a generic careers page: '"), title, F.lit("'.")))
         .when(f["fragment"].isNotNull(), quoted("Title looks like a program navigation page", f["fragment"]))
         .when(f["place"].isNotNull() & ~f["job"] & ~(f["program"] & f["role"]), quoted("URL looks like a general careers page", f["place"]))
         .when(title.rlike("^(search )?internships?$"), F.lit("Title is a generic internships search label."))
-        .when((word_count(title) >= L.LONG_TITLE_WORDS) & ~f["job"], F.lit("Title looks like page copy rather than a job posting title."))
+        .when((f["words"] >= L.LONG_TITLE_WORDS) & ~f["job"], F.lit("Title looks like page copy rather than a job posting title."))
     )
 
 
-def generic_reason(title: Column, url: Column) -> Column:
-    """The reason why a normalised title and lower-case address are a general page's, or null."""
-    return let(_facts(title, url), _general)
-
-
-def _verdict(f: Column) -> Column:
-    name, link, why = f["facts"]["title"], f["facts"]["url"], f["why"]
+def _verdict(name: Column, link: Column, f: dict[str, Column], why: Column) -> Column:
     year = name.contains("2027") | name.contains("2026")
     by_title = (
         F.when(year, F.lit("Title includes a target internship year."))
@@ -128,18 +131,45 @@ def _verdict(f: Column) -> Column:
         .when(~mentions_internship(name, link), verdict("not_internship", F.lit("Does not mention internship-related terms.")))
         .when(why.isNotNull() & is_search_page(name, link), verdict("generic_search_page", why))
         .when(why.isNotNull(), verdict("generic_program_page", why))
-        .when(f["facts"]["job"], verdict("specific_listing", F.lit("URL points to a specific job posting path.")))
-        .when(f["facts"]["role"], verdict("specific_listing", by_title))
+        .when(f["job"], verdict("specific_listing", F.lit("URL points to a specific job posting path.")))
+        .when(f["role"], verdict("specific_listing", by_title))
         .otherwise(verdict("generic_program_page", F.lit("Mentions internships but lacks a specific role title or job posting URL.")))
     )
 
 
+def _staged(rows: DataFrame, title: Column, url: Column) -> tuple[DataFrame, Column, Column, dict[str, Column]]:
+    """``rows`` with the facts as columns of their own, each worked out once and in generated code."""
+    names = {n: f"_listing_{n}" for n in ("name", "link", "way", "job", "role", "fragment", "place", "program", "words")}
+    rows = rows.withColumns({names["name"]: normalized(title), names["link"]: F.lower(F.trim(url))})
+    name, link = F.col(names["name"]), F.col(names["link"])
+    rows = rows.withColumn(names["way"], last_path(link))
+    rows = rows.withColumns({names[k]: c for k, c in _facts(name, link, F.col(names["way"])).items()})
+    return rows, name, link, {k: F.col(n) for k, n in names.items()}
+
+
+def with_classified(rows: DataFrame, title: Column, url: Column, out: str) -> DataFrame:
+    """``rows`` and, as column ``out``, struct(is_specific, category, reason) of each page."""
+    kept = rows.columns
+    rows, name, link, facts = _staged(rows, title, url)
+    rows = rows.withColumn("_listing_why", _general(name, facts))
+    return settled(rows, {out: _verdict(name, link, facts, F.col("_listing_why"))}).select(*kept, out)
+
+
 def classified(title: Column, url: Column) -> Column:
-    """struct(is_specific, category, reason) of a page."""
+    """The same as one column, for single use; :func:`with_classified` is faster on many rows."""
     tidy = F.struct(normalized(title).alias("name"), F.lower(F.trim(url)).alias("link"))
-    facts = let(tidy, lambda x: _facts(x["name"], x["link"]))
-    reasoned = let(facts, lambda f: F.struct(f.alias("facts"), _general(f).alias("why")))
-    return let(reasoned, _verdict)
+    placed = let(tidy, lambda x: F.struct(x["name"].alias("name"), x["link"].alias("link"), last_path(x["link"]).alias("way")))
+    facts = let(placed, lambda x: F.struct(
+        x["name"].alias("name"), x["link"].alias("link"), *(c.alias(k) for k, c in _facts(x["name"], x["link"], x["way"]).items())
+    ))
+    return let(facts, lambda f: let(_general(f["name"], f), lambda why: _verdict(f["name"], f["link"], f, why)))
+
+
+def with_generic_reason(rows: DataFrame, title: Column, url: Column, out: str) -> DataFrame:
+    """``rows`` and, as column ``out``, why a page is a general one, or null."""
+    kept = rows.columns
+    rows, name, _, facts = _staged(rows, title, url)
+    return settled(rows, {out: _general(name, facts)}).select(*kept, out)
 
 
 def category_label(category: Column) -> Column:

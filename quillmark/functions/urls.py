@@ -41,16 +41,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """Does the text hold any of the words? ``text`` is best a column, not an expression."""
-    if not words:
-        return F.lit(False)
-    if len(words) < 4:
-        return reduce(lambda found, word: found | text.contains(word), words[1:], text.contains(words[0]))
-    return F.exists(F.array(*map(F.lit, words)), lambda word: F.contains(text, word))
+    return reduce(lambda found, word: found | text.contains(word), words[1:], text.contains(words[0])) if words else F.lit(False)
 
 
 def first_contained(text: Column, words: list[str]) -> Column:
     """The first of the words, in their order, that the text holds; else null."""
-    return F.try_element_at(F.filter(F.array(*map(F.lit, words)), lambda word: F.contains(text, word)), F.lit(1))
+    return reduce(lambda found, word: found.when(text.contains(word), F.lit(word)), words[1:], F.when(text.contains(words[0]), F.lit(words[0])))
 
 
 def _plain(text: Column) -> Column:

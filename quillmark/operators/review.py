@@ -143,8 +143,8 @@ def open_suggestions(suggestions: DataFrame, companies: DataFrame, dismissed: Da
     return rows.drop("_key")
 
 
-def activity(events: DataFrame, limit: int = 1000) -> DataFrame:
-    """The last events, newest first, with type, call flag and cost.
+def activity(events: DataFrame, limit: int | None = 1000) -> DataFrame:
+    """The last events, newest first (all of them, in no order, without a limit), with type, call flag and cost.
 
     ``api_invoked`` and ``cost`` come from the event, else its details, else
     are inferred; ``details`` is JSON text; ``ord`` is the order of writing.
@@ -156,7 +156,7 @@ def activity(events: DataFrame, limit: int = 1000) -> DataFrame:
     free = F.to_json(F.struct(F.lit(0.0).alias("amount"), F.lit("USD").alias("currency"), F.concat(F.lit("Gemini API free tier ("), tokens, F.lit(" tokens)")).alias("basis")))
     cost = F.coalesce("cost", at("$.cost"), F.when(called & counted, free).otherwise(F.lit('{"status":"unavailable"}')))
     rows = with_order(events).withColumns({"activity_type": text.activity_type(F.col("action")), "cost": cost}).withColumn("api_invoked", called)
-    return rows.orderBy(F.desc("ord")).limit(limit)
+    return rows if limit is None else rows.orderBy(F.desc("ord")).limit(limit)
 
 
 def activity_between(events: DataFrame, kind: str | None, first: str | None, last: str | None) -> DataFrame:

@@ -46,7 +46,8 @@ def scored(
     linked, bad, good = F.coalesce("_link", F.lit(False)), F.size("_not") > 0, F.size("_likes") > 0
     points = lambda condition, n: F.when(condition, F.lit(n)).otherwise(F.lit(0))
     total = 35 + points(intern, 15) + points(year, 15) + F.least(F.lit(15), 3 * F.size("_likes")) + points(linked, 10) - points(bad, 35)
-    general = listing.generic_reason(text.normalized(F.col("title")), F.lower("posting_url")).isNotNull()
+    rows = listing.with_generic_reason(rows, F.col("title"), F.col("posting_url"), "_general")
+    general = F.col("_general").isNotNull()
     said = F.array_compact(F.array(
         F.when(intern, F.lit("Role appears internship-related.")),
         F.when(year, F.lit("Role explicitly mentions 2027.")),

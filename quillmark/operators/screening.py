@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import listing, places
+from ..functions.stage import settled
 
 
 def term_root(term: Column) -> Column:
@@ -46,8 +47,9 @@ def screened(postings: DataFrame, dislikes: list[str], markers: list[str]) -> Da
     """
     title, place = F.col("title"), F.col("location")
     details = F.coalesce(F.col("eligibility_text"), F.lit(""))
-    rows = postings.withColumns({
-        "_c": listing.classified(title, F.col("posting_url")), "_d": disliked(title, dislikes),
+    rows = listing.with_classified(postings, title, F.col("posting_url"), "_c")
+    rows = rows.withColumns({
+        "_d": disliked(title, dislikes),
         "_g": listing.is_graduate_only(title, details), "_p": places.allowed(place, title, details, markers),
     })
     specific = F.col("_c.is_specific")
@@ -61,7 +63,8 @@ def screened(postings: DataFrame, dislikes: list[str], markers: list[str]) -> Da
         .when(F.size(years) > 0, F.concat(F.lit("Mentions target year terms: "), F.array_join(years, ", "), F.lit(".")))
     )
     label = F.concat(F.lit("Listing type: "), listing.category_label(F.col("_c.category")), F.lit("."))
-    return rows.withColumns({"included": ok, "reasons": F.array_compact(F.array(label, F.col("_c.reason"), extra))}).drop("_c", "_d", "_g", "_p")
+    told = {"included": ok, "reasons": F.array_compact(F.array(label, F.col("_c.reason"), extra))}
+    return settled(rows, told).drop("_c", "_d", "_g", "_p")
 
 
 def excluded_by_type(filtered: DataFrame) -> DataFrame:

@@ -87,8 +87,8 @@ def role_key_groups(spark, sf_dir):
 
 @register(f"{O.WITH}, {O.CLASSIFIED} SELECT ord, is_specific, category, reason FROM classified")
 def listing_classifier(spark, sf_dir):
-    found = listing.classified(F.col("title"), F.col("posting_url"))
-    return postings(spark, sf_dir).select("ord", found.alias("c")).select("ord", "c.is_specific", "c.category", "c.reason")
+    found = listing.with_classified(postings(spark, sf_dir), F.col("title"), F.col("posting_url"), "c")
+    return found.select("ord", "c.is_specific", "c.category", "c.reason")
 
 
 @register(f"SELECT doc_id, {O.first_in('lower(text)', ['that the', 'the of', 'of the', 'and', 'de la', 'der'])} AS fragment FROM documents")
@@ -333,7 +333,7 @@ def _activity(spark, sf_dir) -> DataFrame:
         "case when event_id % 3 = 0 then concat('{\"provider\":\"gemini\",\"total_tokens\":', get_json_object(props, '$.k'), '}') else props end details",
         "case when event_id % 10 = 0 then true end api_invoked", "cast(null as string) cost",
     )
-    return review.activity(rows, 1 << 30)
+    return review.activity(rows, None)
 
 
 @register(f"""SELECT event_id AS ord, CASE event_type WHEN 'click' THEN 'scoring' WHEN 'error' THEN 'collection' WHEN 'purchase' THEN 'email' WHEN 'signup' THEN 'note edit' ELSE 'other' END AS activity_type,
