@@ -38,6 +38,15 @@ def fingerprint(text: str, words: int = 3, seed: int = 42, block: int = 1 << 17)
     return int.from_bytes(np.packbits(2 * total > len(starts)).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray, block: int = 1 << 17) -> int:
+    """:func:`fingerprint` of given 64-bit hashes; none: zero."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), block):
+        digests = hashes[at : at + block].astype(">u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, text_hash) for every row; fp is the fingerprint's bits as a signed long."""
     ship(docs.sparkSession)
@@ -103,11 +112,33 @@ class GrayIndex:
         return self.order[left[ok]], self.order[right[ok]]
 
 
-def links_of(unit: np.ndarray, codes: np.ndarray, limit: int, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def nearest_forest(codes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the given links, by Boruvka's steps, a spanning forest with the fewest differing bits in all."""
+    order = np.argsort(np.bitwise_count(codes[left] ^ codes[right]), kind="stable")
+    left, right = left[order], right[order]
+    lefts, rights = [left[:0]], [right[:0]]
+    root = np.arange(len(codes))
+    while True:
+        apart = root[left] != root[right]
+        left, right = left[apart], right[apart]
+        if not len(left):
+            return np.concatenate(lefts), np.concatenate(rights)
+        best, link = np.full(len(codes), len(left)), np.arange(len(left))
+        np.minimum.at(best, root[left], link)
+        np.minimum.at(best, root[right], link)
+        chosen = np.unique(best[best < len(left)])
+        lefts.append(left[chosen])
+        rights.append(right[chosen])
+        root = block_roots(len(codes), np.concatenate(lefts), np.concatenate(rights))
+
+
+def links_of(unit: np.ndarray, codes: np.ndarray, limit: int, small: int = 16, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Places of linked pairs; ``unit`` numbers the units, whose codes stand together.
 
     A unit of up to ``small`` codes is one leaf and is compared directly, all
-    such units at once; a larger one is searched through its own index.
+    such units at once; a larger one is searched through its own index, and its
+    codes are linked to their roots. If ``direct``, only pairs within ``limit``
+    are given, which are a spanning forest of all of them.
     """
     size = np.bincount(unit)[unit]
     lefts, rights = [], []
@@ -116,9 +147,17 @@ def links_of(unit: np.ndarray, codes: np.ndarray, limit: int, small: int = 16) -
         near = near[np.bitwise_count(codes[near] ^ codes[near + shift]) <= limit]
         lefts.append(near)
         rights.append(near + shift)
+    if direct and lefts:
+        kept = nearest_forest(codes, np.concatenate(lefts), np.concatenate(rights))
+        lefts, rights = [kept[0]], [kept[1]]
     first = np.flatnonzero(np.diff(unit, prepend=-1))
     for at in first[size[first] > small].tolist():
         left, right = GrayIndex(codes[at : at + size[at]]).pairs(limit)
+        if direct:
+            left, right = nearest_forest(codes[at : at + size[at]], left, right)
+            lefts.append(left + at)
+            rights.append(right + at)
+            continue
         root = block_roots(int(size[at]), left, right)
         lefts.append(np.flatnonzero(root != np.arange(len(root))) + at)
         rights.append(root[root != np.arange(len(root))] + at)
@@ -168,22 +207,11 @@ def units(codes: DataFrame, limit: int, most: int) -> DataFrame:
     return done
 
 
-def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 1024) -> DataFrame:
-    """Every document's fingerprint and the component of fingerprints it is in.
-
-    Fingerprints of whole texts are linked at ``limit`` or fewer differing bits.
-    Equal fingerprints become one code first, so copies cost nothing afterwards.
-    Codes go to units (:func:`units`) of up to ``unit_rows``; within a unit they
-    are searched through a Gray-order index, and only a spanning forest of the
-    links leaves it. The forests are joined by :func:`connected`.
+def index_links(codes: DataFrame, limit: int = 3, unit_rows: int = 1024, direct: bool = False) -> DataFrame:
+    """(u, v): of every unit of the index, a spanning forest of the links of its codes (column fp, each once).
 
-    Null and empty texts have fingerprint zero, which links like any other.
-    Repeated rows each appear. A null doc_id is no component's number unless all
-    are null. An empty table gives an empty result; other columns are not read.
-    Returns doc_id, fingerprint (16 hex digits), component_id, text_hash.
+    If ``direct``, u and v themselves differ in ``limit`` bits or fewer, else they are linked by steps.
     """
-    rows = cut(fingerprints(docs))
-    codes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     grouped = units(codes, limit, unit_rows).repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "fp")
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,13 +224,31 @@ def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 1024) -
             key = rest[["mask", "pattern"]].to_numpy()
             last = int((key[::-1] == key[-1]).all(axis=1).argmin()) if (key[0] != key[-1]).any() else len(key)
             if last < len(key):
-                yield _forest(rest.iloc[: len(key) - last], limit)
+                yield _forest(rest.iloc[: len(key) - last], limit, direct)
             held = [rest.iloc[len(key) - last :]]
         if held and sum(map(len, held)):
-            yield _forest(pd.concat(held, ignore_index=True), limit)
+            yield _forest(pd.concat(held, ignore_index=True), limit, direct)
+
+    return grouped.mapInPandas(forest, "u long, v long")
 
-    edges = grouped.mapInPandas(forest, "u long, v long")
-    roots = connected(edges)
+
+def simhash_components(docs: DataFrame, limit: int = 3, unit_rows: int = 1024) -> DataFrame:
+    """Every document's fingerprint and the component of fingerprints it is in.
+
+    Fingerprints of whole texts are linked at ``limit`` or fewer differing bits.
+    Equal fingerprints become one code first, so copies cost nothing afterwards.
+    Codes go to units (:func:`units`) of up to ``unit_rows``; within a unit they
+    are searched through a Gray-order index, and only a spanning forest of the
+    links leaves it. The forests are joined by :func:`connected`.
+
+    Null and empty texts have fingerprint zero, which links like any other.
+    Repeated rows each appear. A null doc_id is no component's number unless all
+    are null. An empty table gives an empty result; other columns are not read.
+    Returns doc_id, fingerprint (16 hex digits), component_id, text_hash.
+    """
+    rows = cut(fingerprints(docs))
+    codes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    roots = connected(index_links(codes, limit, unit_rows))
     classes = roots.join(codes, roots["node"] == codes["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(classes, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("joined"))
     known = codes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("joined", "first").alias("component_id"))
@@ -272,9 +318,9 @@ def kept_rows(docs: DataFrame, grouped: DataFrame, broadcast_rows: int = BROADCA
     return once.unionByName(several.where(F.col(nth) == 1).select(docs.columns))
 
 
-def _forest(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
+def _forest(rows: pd.DataFrame, limit: int, direct: bool) -> pd.DataFrame:
     key = rows[["mask", "pattern"]].to_numpy()
     unit = np.cumsum(np.append(0, (key[1:] != key[:-1]).any(axis=1)))
     signed = rows["fp"].to_numpy()
-    left, right = links_of(unit, signed.view(np.uint64), limit)
+    left, right = links_of(unit, signed.view(np.uint64), limit, direct=direct)
     return pd.DataFrame({"u": signed[left], "v": signed[right]})

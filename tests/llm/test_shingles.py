@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import xxhash
 import corpus_pipeline as C
 
 from quillmark.llm import shingles, simhash
@@ -116,3 +117,48 @@ def test_components_with_hubs(spark):
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "u long, v long").repartition(3)).collect()}
     linked = {n for a, b in links if b is not None and a != b for n in (a, b)}
     assert got == {n: root[n] for n in linked}
+
+
+def components(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            return root
+    return root
+
+
+def test_stage_goes_through_the_gray_order_index(spark, monkeypatch):
+    rng = random.Random(13)
+    vocabulary = [f"w{n}" for n in range(300)]
+    texts = []
+    for family in range(4):
+        base = rng.choices(vocabulary, k=300)
+        for copy in range(30):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found, whole = [], shingles.index_pairs
+    monkeypatch.setattr(shingles, "index_pairs", lambda codes, limit: found.append((codes, limit, whole(codes, limit))) or found[0][2])
+    groups = {r["doc_id"]: r["group"] for r in shingles.near_copy_groups(docs).collect()}
+    (codes, limit, pairs), = found
+    codes = {r["fp"]: r["sim"] for r in codes.collect()}
+    sets = [shingles.shingle_hashes(t, 5) for t in texts]
+    sims = {int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)): simhash.majority(s) for s in sets}
+    assert limit == 3 and {k: v & (1 << 64) - 1 for k, v in codes.items()} == sims
+    place = {fp: i for i, fp in enumerate(sims)}
+    got = [(place[r["u"]], place[r["v"]]) for r in pairs.collect()]
+    bits = list(sims.values())
+    want = [(i, j) for i in range(len(bits)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= 3]
+    assert all((bits[i] ^ bits[j]).bit_count() <= 3 for i, j in got) and len(set(got)) < len(want)
+    assert components(len(bits), got) == components(len(bits), want) and len(set(groups.values())) < len(sims)
+
+
+def test_majority_is_the_fingerprint():
+    text = " ".join(str(n) for n in range(700))
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(text.split()[i : i + 3]), 42) for i in range(698)], dtype=np.uint64)
+    assert simhash.majority(hashes, block=100) == simhash.fingerprint(text) and simhash.majority(hashes[:0]) == 0
